@@ -1,0 +1,71 @@
+"""Queries of the core and the SQL they are held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusmill.operators import nested
+from corpusmill.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+_JSON_POSTS = """
+WITH valid AS (SELECT DISTINCT payload_id, payload FROM timelines WHERE json_valid(payload)),
+nodes AS (SELECT v.payload_id, t.id, t.key, t.value, t.fullkey, t.type FROM valid v, json_tree(v.payload::JSON) t),
+posts AS (SELECT payload_id, id AS post_key, value ->> 'id_str' AS id_str, value ->> 'full_text' AS full_text,
+    TRY_CAST(value ->> 'favorite_count' AS BIGINT) AS favorite_count,
+    value ->> 'in_reply_to_status_id_str' AS in_reply_to_status_id_str
+  FROM nodes WHERE key = 'legacy' AND type = 'OBJECT' AND (value ->> 'full_text') IS NOT NULL)
+"""
+
+
+@query(
+    "p1_found",
+    _JSON_POSTS
+    + """SELECT DISTINCT c.payload_id, p.id_str AS parent_id, c.id_str AS child_id FROM posts c JOIN posts p
+    ON c.payload_id = p.payload_id AND c.in_reply_to_status_id_str = p.id_str WHERE c.id_str <> p.id_str""",
+)
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.reply_links(table(spark, d, "timelines"))
+
+
+@query(
+    "p1_posts",
+    _JSON_POSTS + "SELECT payload_id, id_str, full_text, favorite_count, in_reply_to_status_id_str FROM posts",
+)
+def p1_posts(spark: SparkSession, d: str) -> DataFrame:
+    return nested.post_table(table(spark, d, "timelines")).drop("post_key", "parent_post_key")
+
+
+@query("p1_attachments")
+def p1_attachments(spark: SparkSession, d: str) -> DataFrame:
+    return nested.attachment_table(table(spark, d, "timelines"))
+
+
+@query(
+    "p1_payloads",
+    _JSON_POSTS
+    + """, p AS (SELECT DISTINCT payload_id, payload FROM timelines),
+    a AS (SELECT payload_id, count(*) AS n FROM nodes n2 WHERE type = 'OBJECT' AND fullkey LIKE '%entities.%'
+      AND regexp_matches(fullkey, 'entities\\.(hashtags|user_mentions|media|urls)\\[\\d+\\]$') GROUP BY 1),
+    q AS (SELECT payload_id, count(*) AS n FROM posts GROUP BY 1)
+    SELECT p.payload_id, coalesce(json_valid(p.payload), false) AS valid, coalesce(q.n, 0) AS n_posts,
+    coalesce(a.n, 0) AS n_attachments FROM p LEFT JOIN q USING (payload_id) LEFT JOIN a USING (payload_id)""",
+)
+def p1_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return nested.payload_table(table(spark, d, "timelines"))
