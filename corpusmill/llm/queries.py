@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, leakage, mixing
+from corpusmill.llm import abuse, boilerplate, leakage, mixing
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,13 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_rates")
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.found(table(spark, d, "file_nodes"))
+
+
+@query("p2_articles")
+def p2_articles(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_content(table(spark, d, "file_nodes"))
