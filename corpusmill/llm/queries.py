@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, boilerplate, leakage, mixing
+from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_articles")
 def p2_articles(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_content(table(spark, d, "file_nodes"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.found(table(spark, d, "file_nodes"))
+
+
+@query("p7_files")
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "file_nodes"))
+
+
+@query("p7_rates")
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.rates(table(spark, d, "file_nodes"))
