@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing
+from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing, syntax
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,13 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_rates")
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.rates(table(spark, d, "file_nodes"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.found(table(spark, d, "file_nodes"))
+
+
+@query("p5_rates")
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "file_nodes"))
