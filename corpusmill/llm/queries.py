@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing, syntax
+from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing, scans, syntax
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_rates")
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "file_nodes"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "file_nodes"))
+
+
+@query("p6_paragraphs")
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "file_nodes"))
