@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, boilerplate, handwritten, leakage, mixing, scans, syntax
+from corpusmill.llm import abuse, boilerplate, credentials, handwritten, leakage, mixing, scans, syntax
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_paragraphs")
 def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(table(spark, d, "file_nodes"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found(table(spark, d, "file_nodes"))
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "file_nodes"))
