@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import abuse, boilerplate, credentials, handwritten, leakage, mixing, scans, syntax
+from corpusmill.llm import abuse, boilerplate, credentials, handwritten, leakage, mixing, personal, scans, syntax
 from corpusmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_redacted")
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "file_nodes"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "file_nodes"), table(spark, d, "timelines"))
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "file_nodes"), table(spark, d, "timelines"))
