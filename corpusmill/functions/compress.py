@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BRACE_LANGUAGES = ("rust", "rs", "js", "ts", "c", "cpp", "java", "go")
 HASH_LANGUAGES = ("python", "py", "yaml", "yml")
@@ -40,7 +41,7 @@ def brace_comments(text: str | None) -> str | None:
     return kept.replace("\n \n", "\n\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_brace_comments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(brace_comments, na_action="ignore")
@@ -56,7 +57,7 @@ def minified_json(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def minify_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(minified_json, na_action="ignore")

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Elements that go with their content, by default and when the full page is wanted (fixed values).
 STRIPPED = ("script", "style", "nav", "svg", "noscript", "iframe", "header")
@@ -126,7 +127,7 @@ def to_markdown_text(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n +(?=\S)(?![-\d])", "\n", text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_markdown(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in html:
         yield s.map(to_markdown_text, na_action="ignore")

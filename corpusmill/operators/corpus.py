@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corpusmill.functions import compress, tokens
 from corpusmill.functions.paths import summary_extension
@@ -111,6 +112,10 @@ def parse_query(query: str) -> list[tuple[str, str, list[str]]]:
     return parts
 
 
+def _is(word: str):
+    return lambda w: w == word
+
+
 def search(rows: DataFrame, query: str, k: int | None = 3) -> DataFrame:
     """Rows by BM25 over content and path, best first (`k` None: all that match), ties by ord. Terms are OR-ed; counts of
     the query's words are taken in place, so the corpus is read twice and never exploded."""
@@ -121,7 +126,7 @@ def search(rows: DataFrame, query: str, k: int | None = 3) -> DataFrame:
     stats = {f"len_{f}": F.size(f"_{f}") for f in fields}
     for f in fields:
         for i, t in enumerate(terms):
-            stats[f"tf_{f}_{i}"] = F.size(F.filter(f"_{f}", lambda w, t=t: w == t))
+            stats[f"tf_{f}_{i}"] = F.size(F.filter(f"_{f}", _is(t)))
     keep = [c for c in rows.columns if not c.startswith("_")]
 
     def has(field: str, ws: list[str]) -> Column:
@@ -283,7 +288,7 @@ def entropy_spans(text: str, window: int = 16, threshold: float = 4.0, force: bo
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def entropy_windows(texts: pd.Series) -> pd.Series:
     """How many 16-byte windows of a text are above 3.5 bits."""
     return texts.map(lambda t: None if t is None else len(entropy_spans(t, 16, 3.5))).astype("Int32")

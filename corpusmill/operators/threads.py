@@ -1,0 +1,36 @@
+"""Saved threads as text: posts in order, answers under the post they answer, with counts and pictures.
+
+Payloads that are no valid JSON or hold no posts give no row; missing authors are `unknown`, missing counts 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.operators.nested import link, thread_nodes
+
+
+def rendered(timelines: DataFrame) -> DataFrame:
+    """(payload_id, body): one payload's posts as Markdown, the first as the focal post. Text and pictures of one post are
+    gathered by the post's key, posts by their payload's; both are bounded by one stored payload."""
+    nodes = link(thread_nodes(timelines))
+    f = lambda k: F.col("fields").getItem(k)
+    posts = nodes.filter("type = 'post'").select(
+        "record_id", "record_fp", "pre", f("id_str").alias("id"), f("in_reply_to_status_id_str").alias("re"), f("full_text").alias("text"),
+        F.coalesce(F.expr("try_cast(fields['favorite_count'] AS BIGINT)"), F.lit(0)).alias("likes"),
+    )
+    media = nodes.filter("type = 'attachment'").filter(f("kind") == "media").filter(f("value").isNotNull())
+    media = media.groupBy("record_id", "record_fp", F.col("parent_pre").alias("pre")).agg(F.array_sort(F.collect_list(F.struct(F.col("pre").alias("at"), original(f("value")).alias("url")))).alias("media"))
+    focal = posts.groupBy("record_id", "record_fp").agg(F.min_by("id", "pre").alias("focal"), F.min("pre").alias("first"))
+    lines = posts.join(media, ["record_id", "record_fp", "pre"], "left").join(focal, ["record_id", "record_fp"])
+    relation = F.when(F.col("pre") == F.col("first"), "Focal").when(F.col("re") == F.col("focal"), "Reply").otherwise("Thread")
+    pictures = F.coalesce(F.array_join(F.transform("media", lambda m: F.concat(F.lit("\n![]("), m["url"], F.lit(")"))), ""), F.lit(""))
+    line = F.concat(F.lit("### "), relation, F.lit(" "), F.coalesce("id", F.lit("unknown")), F.lit("\n"), F.col("text"), F.lit("\nlikes: "), F.col("likes").cast("string"), pictures, F.lit("\n\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("pre", line.alias("line"))))
+    return lines.groupBy("record_id", "record_fp").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("body")).select(F.col("record_id").alias("payload_id"), "body")
+
+
+def original(url: Column) -> Column:
+    """The picture in its original size."""
+    return F.regexp_replace(url, r"([?&]name=)\w+", "$1orig")
