@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+_STATE = "path string, state string"
 log = logging.getLogger(__name__)
 
 
@@ -36,14 +37,15 @@ def watch(spark: SparkSession, root: str, regenerate: Callable[[DataFrame], None
 
     def step(_: DataFrame, epoch: int) -> None:
         try:
-            now = snapshot(spark, root)
-            path = f"{checkpoint}/snapshots/{state['n']}"
-            before = spark.read.parquet(path) if state["n"] else spark.createDataFrame([], "path string, state string")
+            # the snapshot is a table before it is compared: a file that changes meanwhile differs from it next time
+            path = f"{checkpoint}/snapshots/{state['n'] + 1}"
+            snapshot(spark, root).write.mode("overwrite").parquet(path)
+            now = spark.read.schema(_STATE).parquet(path)
+            before = spark.read.schema(_STATE).parquet(f"{checkpoint}/snapshots/{state['n']}") if state["n"] else spark.createDataFrame([], _STATE)
             changes = changes_between(before, now)
             if not changes.isEmpty():
                 regenerate(changes)
                 state["n"] += 1
-                now.write.mode("overwrite").parquet(f"{checkpoint}/snapshots/{state['n']}")
         except Exception:
             log.exception("regeneration failed")
 

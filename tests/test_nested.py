@@ -1,0 +1,56 @@
+import json
+
+from pyspark.sql import functions as F
+
+from corpusmill.operators import nested, threads
+
+
+def post(i, text="t", re=None, **more):
+    return {"legacy": {"id_str": str(i), "full_text": text, **({"in_reply_to_status_id_str": re} if re is not None else {}), **more}}
+
+
+def table(spark, *payloads):
+    return spark.createDataFrame(list(payloads), "payload_id long, payload string").withColumn("type", F.lit("clash"))
+
+
+def test_labels_nest():
+    value = {"a": [{"b": 1}, {"b": {"b": 2}}], "c": {}}
+    nodes = nested.label(value, lambda p, n: ("any", {}))
+    spans = {n[1]: n[2] for n in nodes}
+    assert len(nodes) == len(spans) == 8 and nodes[0][:4] == ("any", 0, 7, 0)
+    inside = {(a, b) for a in spans for b in spans if a < b and spans[b] < spans[a]}
+    # an interval lies wholly inside or wholly outside another: whatever lies inside b lies inside what holds b
+    assert all((a, c) in inside for a, b in inside for b2, c in inside if b == b2)
+    assert [sum((a, b) in inside for a in spans) for b in sorted(spans)] == [n[3] for n in sorted(nodes, key=lambda n: n[1])]
+
+
+def test_deep_nesting():
+    value = []
+    for _ in range(50_000):
+        value = [value]
+    assert len(nested.label(value, lambda p, n: None)) == 0
+
+
+def test_replies_and_dirty_payloads(spark):
+    good = json.dumps({"x": [post(1), {"deep": {"items": [post(2, re="1"), post(3, re=2), post(3, re="2")]}}, post(4, re="9"), post(5, re=None)]})
+    df = table(spark, (1, good), (1, good), (2, None), (3, ""), (4, good[:40]), (5, '{"legacy": {"full_text": null}}'), (6, "[NaN]"), (7, "{}"))
+    assert sorted(map(tuple, nested.reply_links(df).collect())) == [(1, "1", "2"), (1, "2", "3")]
+    valid = {r.payload_id: (r.valid, r.n_posts) for r in nested.payload_table(df).collect()}
+    assert valid == {1: (True, 6), 2: (False, 0), 3: (False, 0), 4: (False, 0), 5: (True, 0), 6: (False, 0), 7: (True, 0)}
+
+
+def test_tables_keep_parents(spark):
+    inner = post(2, entities={"media": [{"media_url_https": "https://p/x?name=small"}], "hashtags": [{"text": "h"}]}, favorite_count="7")
+    outer = post(1, favorite_count=3, quoted=inner, entities={"hashtags": [{"text": "o"}]})
+    df = table(spark, (1, json.dumps(outer)))
+    posts = {r.id_str: r for r in nested.post_table(df).collect()}
+    assert posts["2"].parent_post_key == posts["1"].post_key and posts["1"].parent_post_key is None
+    assert (posts["1"].favorite_count, posts["2"].favorite_count) == (3, 7)
+    got = {(r.kind, r.value): r.post_key for r in nested.attachment_table(df).collect()}
+    assert got == {("hashtags", "o"): posts["1"].post_key, ("hashtags", "h"): posts["2"].post_key, ("media", "https://p/x?name=small"): posts["2"].post_key}
+    assert "![](https://p/x?name=orig)" in threads.rendered(df).first().body
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "payload_id long, payload string")
+    assert nested.reply_links(empty).count() == nested.post_table(empty).count() == nested.attachment_table(empty).count() == 0
