@@ -3,8 +3,8 @@
 Two interpolated Kneser-Ney trigram models over words, one of abusive and one of ordinary sentences, are trained on a
 bounded sample of rated documents; below their own unigrams both back off to one shared distribution of continuation
 counts, so a rare word costs either class the same. Ratings hold for documents while abuse sits in single sentences, and
-some ratings are wrong: training begins with every sentence of documents rated abusive that the ordinary model finds
-unlikely, then re-assigns the sentences of all sampled documents by the two models for ROUNDS rounds.
+some ratings are wrong: training begins with the sentences of documents rated abusive whose words tell of it, then re-assigns
+the sentences of all sampled documents by the two models for ROUNDS rounds, each by the counts of all other sentences.
 
 A passage's score is the difference of the two log-likelihoods a word, in natural logarithms. Transcripts have no
 sentence ends, so each line's best window of at most WINDOW words counts beside its sentences. A document's score is
@@ -33,8 +33,11 @@ SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
 ROUNDS = 4
 WINDOW = 10
 LEAST_WORDS = 2
+#: A word tells of abuse, for the first round, below this share of ordinary documents and above so many times its share
+#: there among abusive ones; a sentence begins as abusive with this share of such words.
+TELLING_RATE, TELLING_LIFT, TELLING_SHARE = 0.02, 4, 0.34
 DISCOUNT = 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.75
 
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
 _TOKEN = re.compile(r"@\w+|[^\W\d_](?:[\w$@*!'’-]*[\w$*])?|\d[\w$@*!-]*[^\W\d_][\w$@*!]*|\d+")
@@ -118,19 +121,23 @@ class Model:
     def _p(self, c: int, gram: tuple, own: float = 0.0, orders: tuple = (2, 1, 0)) -> float:
         """P(last word | words before it); `own` is a weight of this gram's to leave out of the counts."""
         p = (self.shared.get(gram[2], 0) + 1.0) / (self.shared_n + self.words)
+        rest = self.levels[c][0][0].get(gram, 0.0) - own
+        below = own if rest <= 0 else 0.0  # counts of kinds lose one only when the last of its kind goes
         for order in orders:  # 0: the trigram, 2: the word alone
             counts, sums, kinds = self.levels[c][order]
             context = gram[order:2]
-            total = sums.get(context, 0.0) - own
+            less = below if order else own
+            total = sums.get(context, 0.0) - less
             if total > 0:
-                n = counts.get(gram[order:], 0.0) - own
+                n = counts.get(gram[order:], 0.0) - less
                 # 1 is added to the sum: a context seen a fraction of a time says little
                 p = (max(n - DISCOUNT, 0.0) + (kinds[context] + 1.0) * p) / (total + 1.0)
         return p
 
     def _ratio(self, gram: tuple, own: tuple[float, float] = (0.0, 0.0)) -> float:
         r = math.log(self._p(1, gram, own[1]) / self._p(0, gram, own[0]))
-        if self.levels[1][1][0].get(gram[1:], 0.0) - own[1] <= 0:
+        last = self.levels[1][0][0].get(gram, 0.0) - own[1] <= 0
+        if self.levels[1][1][0].get(gram[1:], 0.0) - (own[1] if last else 0.0) <= 0:
             # the smaller model's contexts give up more mass to unseen words: without evidence for the pair only the word speaks
             r = min(r, math.log(self._p(1, gram, own[1], (2,)) / self._p(0, gram, own[0], (2,))))
         return r
@@ -148,10 +155,16 @@ class Model:
             out.append(r)
         return out
 
-    def without(self, words: tuple[str, ...], toxic: float) -> float:
+    def without(self, words: tuple[str, ...], toxic: float, memo: dict) -> float:
         """The sentence's log-ratio by the counts of all other sentences; `toxic` is its own weight."""
-        padded = ("<s>", "<s>", *words)
-        return sum(self._ratio(padded[i - 2 : i + 1], (1 - toxic, toxic)) for i in range(2, len(padded)))
+        padded, total = ("<s>", "<s>", *words), 0.0
+        for i in range(2, len(padded)):
+            key = (padded[i - 2 : i + 1], toxic)
+            r = memo.get(key)
+            if r is None:
+                r = memo[key] = self._ratio(key[0], (1 - toxic, toxic))
+            total += r
+        return total
 
     def score(self, words: tuple[str, ...], memo: dict) -> float:
         """The best of the sentence's and its windows' log-ratio a word."""
@@ -172,23 +185,28 @@ def fit(rated: list[tuple[str | None, float]]) -> Model | None:
     docs = [([tuple(w) for w in passages(t)], y) for t, y in rated]
     if not any(y > 0.5 for _, y in docs) or not any(y <= 0.5 for _, y in docs):
         return None
-    seen: Counter = Counter()
+    inside = [Counter(), Counter()]
+    sizes = [0, 0]
     for sentences, y in docs:
-        if y <= 0.5:
-            for s in set(sentences):
-                seen.update(set(zip(s, s[1:])))
+        sizes[y > 0.5] += 1
+        inside[y > 0.5].update({w for s in sentences for w in s})
+
+    def telling(w: str) -> bool:
+        """The word is rare in ordinary documents and comes several times as often in abusive ones."""
+        ordinary, toxic = ((inside[c][w] + 0.5) / (sizes[c] + 1) for c in (0, 1))
+        return ordinary < TELLING_RATE and toxic > TELLING_LIFT * ordinary
 
-    def strange(s: tuple[str, ...]) -> float:
-        pairs = list(zip(s, s[1:]))
-        return sum(seen[p] <= 1 for p in pairs) / max(1, len(pairs))
+    def start(s: tuple[str, ...]) -> bool:
+        return sum(map(telling, s)) >= TELLING_SHARE * len(s)
 
-    weights = [[float(y > 0.5 and strange(s) > 0.5) for s in sentences] for sentences, y in docs]
+    weights = [[float(y > 0.5 and start(s)) for s in sentences] for sentences, y in docs]
     model = None
     for _ in range(ROUNDS):
         model = Model([(s, w) for (sentences, _), ws in zip(docs, weights) for s, w in zip(sentences, ws)])
+        memo: dict = {}
         prior = [math.log(0.3) if y > 0.5 else math.log(0.04) for _, y in docs]
         weights = [
-            [1 / (1 + math.exp(-max(-30, min(30, p + model.without(s, w))))) for s, w in zip(sentences, ws)]
+            [1 / (1 + math.exp(-max(-30, min(30, p + model.without(s, w, memo))))) for s, w in zip(sentences, ws)]
             for (sentences, _), p, ws in zip(docs, prior, weights)
         ]
         weights = [[0.0 if w < 0.02 else 1.0 if w > 0.98 else w for w in ws] for ws in weights]

@@ -47,7 +47,7 @@ casearm = ('case' expr | 'default') ':' stmt* open?
 forhead = 'await'? '(' ((vardecl | expr)? ';' expr? ';' expr? | (('var' | 'let' | 'const') pattern | expr) 'of' assign | ('var' | 'let' | 'const') pattern 'in' expr) ')'
 funcdecl = 'async'? 'function' '*'? ident TPAR params RET block | FUNCSIG
 params = '(' (param (',' param)* ','?)? ')'
-param = deco* PMOD '...'? pattern OPT ANN ('=' assign)?
+param = deco* PMOD '...'? (pattern | 'this') OPT ANN ('=' assign)?
 deco = '@' ident ('.' name)* args?
 classdecl = deco* ABSTRACT 'class' ident? TPAR ('extends' unary TARGS)? IMPL classbody
 classbody = '{' (member | ';')* memberopen? '}'
@@ -362,7 +362,7 @@ item = attr* vis? itemkind | attr* macro (';')? | ';'
 attr = '#' tree
 vis = 'pub' ('(' ('in'? path) ')')?
 itemkind = 'use' usetree ';' | 'extern' 'crate' NAME ('as' NAME)? ';' | 'mod' NAME (';' | '{' item* '}') | fnhead (block | ';') | 'struct' NAME gen? where? (';' | '{' (sfield (',' sfield)* ','?)? '}') | 'struct' NAME gen? '(' (attr* vis? type (',' attr* vis? type)* ','?)? ')' where? ';'
-  | 'enum' NAME gen? where? '{' (variant (',' variant)* ','?)? '}' | 'unsafe'? 'impl' gen? '!'? type ('for' type)? where? '{' item* '}' | 'unsafe'? 'trait' NAME gen? (':' bounds?)? where? '{' item* '}' | ('const' | 'static' 'mut'?) NAME (':' type)? ('=' expr)? ';'
+  | 'enum' NAME gen? where? '{' (variant (',' variant)* ','?)? '}' | 'unsafe'? 'impl' gen? '!'? type ('for' type)? where? '{' item* '}' | 'unsafe'? 'trait' NAME gen? (':' bounds?)? where? '{' item* '}' | ('const' | 'static' 'mut'?) NAME ':' type ('=' expr)? ';'
   | 'type' NAME gen? (':' bounds)? where? ('=' type)? where? ';' | 'unsafe'? 'extern' STR? '{' item* '}'
 fnhead = ('const' | 'async' | 'unsafe' | 'extern' STR?)* 'fn' NAME gen? '(' (fparam (',' fparam)* ','?)? ')' ('->' type)? where?
 fparam = attr* ('&'? LIFE? 'mut'? 'self' (':' type)? | pattern ':' type | '...')
