@@ -99,6 +99,14 @@ def key(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{text}") - (1 << 63)
 
 
+#: A label with details of its own (numbers, a mailbox other than the site's) is running text cut short, not furniture.
+_DETAIL = re.compile(r"\d[\d ()./-]{5,}\d|(?<!hello)(?:@|&#64;)\w|(?<![.\d])\b\d{1,5}[a-z]?,? [A-Za-z]|\w \d{1,4}[a-z]?,|[A-Z]{2} ?\d{6}")
+
+
+def has_detail(text: str) -> bool:
+    return bool(_DETAIL.search(text)) and not re.match(r"©|\d+ \w+$|(?:.{0,20}: )?Release \d+\.\d+ |[^\w]*\d+\W*$", text)
+
+
 def label_keys(text: str) -> tuple[int, int]:
     n = normal(text)
     words = n.split()
@@ -125,6 +133,9 @@ def stretch(lines: list[tuple[str, str]], wins: set[int] | None) -> tuple[int, i
             if kind == "label":
                 title = i
             break
+    if wins is not None:  # labels with details that close the last paragraph's block belong to it
+        while last + 1 < len(lines) and lines[last + 1][0] in ("label", "menu") and has_detail(lines[last + 1][1]) and label_keys(lines[last + 1][1])[0] not in wins:
+            last += 1
     if wins:  # short repeated sentences that do not speak to the visitor belong to the article they stand in
         for i in range(last + 1, len(lines)):
             kind, text = lines[i]
@@ -164,16 +175,18 @@ def furniture(content: str, wins: set[int]) -> list[bool | None]:
             out.append(None)
         elif first < 0:
             out.append(True)
-        elif kind in ("menu", "link"):
+        elif kind == "link" or (kind == "menu" and not (first <= i <= last and has_detail(text))):
             out.append(True)
+        elif kind == "menu":
+            out.append(False)
         elif kind == "label":
             exact, start = label_keys(text)
             if i == title:
                 out.append(False)
             elif (title if title >= 0 else first) < i < last:  # between article lines a label needs the host's word
-                out.append(exact in wins or start in wins or _title_like(text))
+                out.append(exact in wins or ((start in wins or _title_like(text)) and not has_detail(text)))
             else:
-                out.append(True)
+                out.append(not (first <= i <= last and has_detail(text)))
         elif kind == "paragraph":
             inside = (title if title >= 0 else first) < i <= last
             out.append(furniture_paragraph(text, wins) and (not inside or bool(_VISITOR.search(text))))
