@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.paths import extension
@@ -37,13 +37,11 @@ def header_tokens(content: Column) -> Column:
     return F.floor(F.octet_length(content) / 4).cast("bigint")
 
 
-def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICES, "model string, usd_per_million double")
-
-
 def costs(total: DataFrame, column: str = "tokens") -> DataFrame:
-    """A row of totals by each model's price; the price table has as many rows as PRICES."""
-    return total.crossJoin(F.broadcast(prices(total.sparkSession))).withColumn("usd", F.col(column) / F.lit(1e6) * F.col("usd_per_million"))
+    """A row of totals by each model's price."""
+    models = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).alias("usd_per_million")) for m, p in PRICES))
+    rows = total.select("*", F.explode(models).alias("_m")).select(*total.columns, "_m.model", "_m.usd_per_million")
+    return rows.withColumn("usd", F.col(column) / F.lit(1e6) * F.col("usd_per_million"))
 
 
 def parse_threshold(text: str) -> int | None:

@@ -65,16 +65,14 @@ def within_budget(rows: DataFrame, budget: int) -> DataFrame:
     sized = sized.join(groups.select("rank", "bytes", "used", "total"), ["rank", "bytes"])
     fits = (F.col("total") <= budget) | (F.col("used") <= budget)
     sure = sized.filter(fits).select("ord", F.lit("full").alias("mode"))
-    spent = groups.filter(F.col("used") <= budget).agg(F.coalesce(F.max("used"), F.lit(0)).alias("spent"))
-    rest = sized.filter(~fits).crossJoin(F.broadcast(spent))  # one row
-    rest = rest.filter(F.least("cost", F.coalesce("folded_cost", "cost")) <= budget - F.col("spent"))
+    spent = groups.filter(F.col("used") <= budget).agg(F.max("used")).first()[0] or 0
+    rest = sized.filter(~fits & (F.least("cost", F.coalesce("folded_cost", "cost")) <= budget - spent))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        left = budget - spent
         for batch in batches:
             ords, modes = [], []
-            for o, cost, other, spent in zip(*(batch.column(c).to_pylist() for c in ("ord", "cost", "folded_cost", "spent"))):
-                left = budget - spent if left is None else left
+            for o, cost, other in zip(*(batch.column(c).to_pylist() for c in ("ord", "cost", "folded_cost"))):
                 if cost <= left:
                     mode, left = "full", left - cost
                 elif other is not None and other <= left:
@@ -85,7 +83,7 @@ def within_budget(rows: DataFrame, budget: int) -> DataFrame:
                 modes.append(mode)
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(modes, pa.string())], names=["ord", "mode"])
 
-    stream = rest.select("rank", "bytes", "ord", "cost", "folded_cost", "spent").repartition(1).sortWithinPartitions(F.desc("rank"), "bytes", F.desc("ord"))
+    stream = rest.select("rank", "bytes", "ord", "cost", "folded_cost").repartition(1).sortWithinPartitions(F.desc("rank"), "bytes", F.desc("ord"))
     kept = sure.unionByName(stream.mapInArrow(take, "ord long, mode string"))
     return rows.join(kept, "ord").withColumn("content", F.when(F.col("mode") == "folded", folded).otherwise(F.col("content")))
 
@@ -140,18 +138,17 @@ def search(rows: DataFrame, query: str, k: int | None = 3) -> DataFrame:
         elif sign == "-":
             wanted = wanted & ~has(field, ws)
     counted = rows.select(*keep, wanted.alias("_wanted"), *(c.alias(n) for n, c in stats.items()))
-    total = counted.agg(
+    total = counted.agg(  # one row of numbers
         F.count("*").alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields),
         *(F.sum((F.col(f"tf_{f}_{i}") > 0).cast("int")).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))),
-    )
-    scored = counted.crossJoin(F.broadcast(total))  # one row
+    ).first()
     score = F.lit(0.0)
     for f in fields:
         for i in range(len(terms)):
-            tf, df = F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}")))
-    out = scored.withColumn("score", score).filter(F.col("_wanted") & (F.col("score") > 0)).select(*keep, "score")
+            tf, df = F.col(f"tf_{f}_{i}"), total[f"df_{f}_{i}"] or 0
+            idf = math.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / (total[f"avg_{f}"] or 1.0)))
+    out = counted.withColumn("score", score).filter(F.col("_wanted") & (F.col("score") > 0)).select(*keep, "score")
     return out if k is None else out.orderBy(F.desc("score"), "ord").limit(k)
 
 
@@ -161,9 +158,12 @@ def search(rows: DataFrame, query: str, k: int | None = 3) -> DataFrame:
 def metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: files, bytes, tokens, and the tokens saved between two stages of a corpus."""
     cost = tokens.estimate(F.col("content"), F.col("path"))
-    now = after.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(cost), F.lit(0)).alias("tokens"))
-    was = before.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("was"))
-    return now.crossJoin(was).select("files", "bytes", "tokens", F.greatest(F.col("was") - F.col("tokens"), F.lit(0)).alias("tokens_saved"))
+    sized = lambda df, now: df.select(F.lit(now).alias("now"), F.octet_length("content").alias("bytes"), cost.alias("cost"))
+    of = lambda c, now: F.coalesce(F.sum(F.when(F.col("now") == now, F.col(c))), F.lit(0))
+    both = sized(before, False).unionByName(sized(after, True))
+    return both.agg(
+        F.count_if("now").alias("files"), of("bytes", True).alias("bytes"), of("cost", True).alias("tokens"), F.greatest(of("cost", False) - of("cost", True), F.lit(0)).alias("tokens_saved")
+    )
 
 
 def extensions(rows: DataFrame) -> DataFrame:
@@ -197,15 +197,17 @@ def readme_intro(content: Column) -> Column:
 
 def summary(rows: DataFrame, top: int = 5) -> DataFrame:
     """One row: files, tokens, the most frequent extensions as lines, and the first README's introduction."""
-    exts = extensions(rows)
-    best = exts.orderBy(F.desc("files"), "ext").limit(top)
-    lines = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("k"), "ext", "files"))), lambda x: F.concat(F.lit("- **"), x["ext"], F.lit("**: "), x["files"].cast("string"), F.lit(" files"))), "\n").alias("lines"))
-    kinds = exts.agg(F.count("*").alias("kinds"))
-    readme = rows.filter(F.lower("path").endswith("readme.md")).select("ord", readme_intro(F.col("content")).alias("intro")).filter("intro <> ''").agg(F.min_by("intro", "ord").alias("intro"))
+    counts = extensions(rows)
+    best = counts.orderBy(F.desc("files"), "ext").limit(top).collect()
+    kinds = counts.count()
+    lines = [f"- **{r.ext}**: {r.files} files" for r in best] + [f"- *...and {kinds - top} other types*"] * (kinds > top)
+    readme = F.when(F.lower("path").endswith("readme.md"), readme_intro(F.col("content")))
+    intro = F.when(readme != "", readme)
     cost = tokens.estimate(F.col("content"), F.col("path"))
-    total = rows.agg(F.count("*").alias("files"), F.coalesce(F.sum(cost), F.lit(0)).alias("tokens"))
-    more = F.when(F.col("kinds") > top, F.concat(F.lit("\n- *...and "), (F.col("kinds") - top).cast("string"), F.lit(" other types*"))).otherwise("")
-    return total.crossJoin(lines).crossJoin(kinds).crossJoin(readme).select("files", "tokens", F.concat("lines", more).alias("extensions"), "intro")
+    return rows.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum(cost), F.lit(0)).alias("tokens"), F.lit("\n".join(lines)).alias("extensions"),
+        F.min_by(intro, F.when(intro.isNotNull(), F.col("ord"))).alias("intro"),
+    )
 
 
 # --- output -----------------------------------------------------------------------------------------------------------
