@@ -76,16 +76,15 @@ def plan(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
     """(documents with hash and tokens, one row for each mix and source with `copies` for all and the threshold)."""
     docs = cut(with_tokens(documents.select("doc_id", "source", "text"), "doc_id", "source").withColumn("h", F.xxhash64("doc_id")))
     sums = docs.filter("source is not null and n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("have"))
-    total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
     wish = targets.select("mix", "source", "target_share", "max_repeats", "size_factor").distinct()
     share = F.greatest(F.coalesce(F.when(~F.isnan("target_share"), F.col("target_share")), F.lit(0.0)), F.lit(0.0))
     all_shares = F.sum(share).over(Window.partitionBy("mix"))
     wish = (
         wish.withColumn("share", F.when(all_shares > 0, share / all_shares).otherwise(0.0))
         .join(small(sums), "source", "left")
-        .join(F.broadcast(total))  # one row
         .withColumn("have", F.coalesce("have", F.lit(0)))
-        .withColumn("wanted", F.col("share") * F.greatest(F.coalesce("size_factor", F.lit(0.0)), F.lit(0.0)) * F.col("total"))
+        .withColumn("wanted", F.col("share") * F.greatest(F.coalesce("size_factor", F.lit(0.0)), F.lit(0.0)) * total)
         .withColumn("cap", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)))
         .withColumn("budget", F.least("wanted", F.col("cap") * F.col("have")))
         .withColumn("copies", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.col("have"))).otherwise(0).cast("int"))
