@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, small
+from corpusmill.session import cut
 
 #: A path needs so many pages of a host, or so many pages on at least two hosts, before it can win.
 HOST_PAGES, ALL_PAGES = 4, 6
@@ -241,6 +241,16 @@ def winners(page_rows: DataFrame) -> DataFrame:
     return own.unionByName(shared.select("host", "path")).groupBy("host").agg(F.collect_set("path").alias("wins"))
 
 
+#: Winning paths that are broadcast; more are joined by host with a shuffle.
+BROADCAST_PATHS = 2_000_000
+
+
+def _by_host(page_rows: DataFrame) -> DataFrame:
+    best = cut(winners(page_rows))
+    paths = best.agg(F.sum(F.size("wins"))).first()[0] or 0
+    return F.broadcast(best) if paths <= BROADCAST_PATHS else best
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
     for batch in batches:
@@ -259,7 +269,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(file_nodes: DataFrame) -> DataFrame:
     """(ord, furniture): of each page's lines whether they are furniture; null for blank lines."""
     rows = pages(file_nodes)
-    best = small(cut(winners(rows)), 2_000)
+    best = _by_host(rows)
     joined = rows.join(best, rows["host"].eqNullSafe(best["host"]), "left").select("ord", "content", rows["host"], "wins")
     return joined.mapInArrow(_judged, "ord long, furniture array<boolean>")
 
@@ -273,7 +283,7 @@ def found(file_nodes: DataFrame) -> DataFrame:
 def main_content(file_nodes: DataFrame) -> DataFrame:
     """(ord, host, text): each page with only its article's lines; blank lines at the ends and in a row go."""
     rows = pages(file_nodes)
-    best = small(cut(winners(rows)), 2_000)
+    best = _by_host(rows)
     joined = rows.join(best, rows["host"].eqNullSafe(best["host"]), "left").select("ord", rows["host"], "content", "wins")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,13 +77,13 @@ def test_credentials(spark):
     shared = "ghp_Xy7Kp2Lm9Qw4Zt8Rv3Nb6Hc1Jd5Fg0Sa2Tu4Ei"
     secret = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA"
     rows = [(i, f"o/r{i}", "x.env", f"TOKEN={shared}") for i in range(5)]
-    rows += [(10, "o/a", "a.py", f"x = 1\napi_key = '{secret}'\r\n"), (11, "o/b", "b.txt", f"seen {secret} here"), (11, "o/b", "b.txt", f"seen {secret} here"), (12, None, "k", "a\n" + KEY)]
+    rows += [(10, "o/a", "a.py", f"x = 1\napi_key = '{secret}'\r\n"), (11, "o/b", "b.txt", f"seen {secret} here"), (11, "o/b", "b.txt", f"seen {secret} here"), (12, None, "k", "a\n" + KEY), (13, "o/d", "p.py", "y = 2\nPASS = ('P4tuli'\n    'p_WINTER')\n")]
     df = files(spark, *rows)
     # the second file holds the literal in no telling place: it is known from the first
     got = {(r.ord, r.line_no) for r in credentials.found(df).collect()}
-    assert got == {(10, 2), (11, 1), (12, 2)}
+    assert got == {(10, 2), (11, 1), (12, 2), (13, 2)}
     text = {r.ord: r.content for r in credentials.redacted(df).collect()}
-    assert text[10] == "x = 1\napi_key = 'REDACTED'\r\n" and "MIIE" not in text[12] and text[12].endswith("-----END RSA PRIVATE KEY-----")
+    assert text[10] == "x = 1\napi_key = 'REDACTED'\r\n" and text[13] == "y = 2\nPASS = ('REDACTED')\n" and "MIIE" not in text[12] and text[12].endswith("-----END RSA PRIVATE KEY-----")
 
 
 # --- 4 ------------------------------------------------------------------------------------------------------------------
