@@ -515,7 +515,7 @@ def chunk_parts(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ops.chunks(files(spark, d), 5_000)
 
 
-@query("json_sink")
+@query("json_sink", f"SELECT ord, to_json({{'path': path, 'content': content}})::VARCHAR AS node FROM {CORPUS}")
 def json_sink(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ops.json_nodes(files(spark, d))
 
@@ -656,6 +656,11 @@ def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ops.manifest(pipeline.run(files(spark, d), config))
 
 
-@query("watch_stream")
+@query(
+    "watch_stream",
+    f"""WITH b AS (SELECT path, list_sort(list(md5(content))) AS s FROM {CORPUS} GROUP BY 1), a AS (SELECT path, list_sort(list(md5(content))) AS s FROM {CORPUS} WHERE ord % 2 = 0 GROUP BY 1)
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change
+    FROM a FULL JOIN b ON a.path = b.path WHERE a.s IS DISTINCT FROM b.s""",
+)
 def watch_stream(spark: SparkSession, d: str) -> DataFrame:
     return watch.changes_between(files(spark, d).filter("ord % 2 = 0").select("path", F.md5("content").alias("state")), files(spark, d).select("path", F.md5("content").alias("state")))
