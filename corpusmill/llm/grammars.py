@@ -35,7 +35,7 @@ start = stmt* open?
 block = '{' stmt* open? '}'
 stmt = block | ';' | simple ';' | control | funcdecl | classdecl | module | NAME ':' stmt
 open = simple | 'if' '(' expr ')' open | 'if' '(' expr ')' stmt 'else' open | ('while' | 'with') '(' expr ')' open | 'for' forhead open | modopen
-simple = vardecl | 'return' expr? | 'throw' expr | 'break' NAME? | 'continue' NAME? | 'debugger' | expr | 'do' stmt 'while' '(' expr ')'
+simple = vardecl | 'return' expr? | 'throw' expr | 'break' NAME? | 'continue' NAME? | 'debugger' | sexpr | 'do' stmt 'while' '(' expr ')'
 vardecl = ('var' | 'let' | 'const') declr (',' declr)*
 declr = pattern ANN ('=' assign)?
 pattern = ident | '[' (pelem? ',')* pelem? ']' | '{' (pprop (',' pprop)* ','?)? '}'
@@ -67,6 +67,10 @@ binop = '=' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' ('>' '>'?)? '='? |
 unary = ('!' | '-' | '+' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' | 'yield' '*'?)* (primary trailer* ('++' | '--')?) | 'yield'
 primary = ident | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | '(' expr ')' | '[' ('...'? assign? ',')* ('...'? assign)? ']'
   | '{' (prop (',' prop)* ','?)? '}' | 'async'? 'function' '*'? ident? TPAR params RET block | classdecl | 'async'? (ident | TPAR params RET) '=>' (block | assign) | PRIVATE
+sexpr = sassign (',' assign)*
+sassign = sunary (binop unary)* ASTYPE ('?' assign ':' assign)?
+sunary = ('!' | '-' | '+' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' | 'yield' '*'?)+ (primary trailer* ('++' | '--')?) | 'yield' | sprimary trailer* ('++' | '--')?
+sprimary = ident | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | '(' expr ')' | '[' ('...'? assign? ',')* ('...'? assign)? ']' | 'async'? (ident | TPAR params RET) '=>' (block | assign) | PRIVATE
 prop = '...' assign | propname (':' assign)? ('=' assign)? | ('async' | 'get' | 'set' | '*')* propname TPAR params RET block
 trailer = ('.' | '?.') (name | PRIVATE) | '?.'? '[' expr ']' | TARGS '?.'? args | TEMPLATE | BANG
 args = '(' ('...'? assign (',' '...'? assign)* ','?)? ')'

@@ -130,7 +130,7 @@ VALID = {
 BROKEN = {
     "py": ["def f(:\n    pass\n", "if x\n    pass\n", "x = (1,\n", "<<<<<<< HEAD\nx = 1\n=======\n", "def f():\n    # cut", "x = 1 \ufffd\n", "package main\n", "  x = 1\n y = 2\n"],
     "json": ['{"a" 1}', "[1,]", '{"a": 1', "a: 1", "[1] 2", "{'a': 1}"],
-    "js": ["function f( {", "const a = ;", "for const x of y) {}", "x = {a: 1", "import type { A } from 'b';", "a b c", "# Heading\n", "let x = 'open\n"],
+    "js": ["function f( {", "const a = ;", "for const x of y) {}", "x = {a: 1", "import type { A } from 'b';", "a b c", "# Heading\n", "let x = 'open\n", '{"a": 1, "b": [2]}'],
     "ts": ["interface A { x: ", "const a: = 1;", "<!doctype html>\n", "=======\n"],
     "go": ["package a\nfunc f( {\n}\n", "func f() {}\n", "package a\nx := 1\n", "package a\nfunc f() {\n"],
     "java": ["class A { void f() { x.g(; } }", "class A {", "int x = 1", "import os\n"],
