@@ -6,11 +6,13 @@
    people make up of words may well be chosen by many, so for those only their form counts); so are blanks, masks,
    look-ups, checksums, revisions and plain words.
 3. confirm: what is left is confirmed by its form or by its place and form together.
-4. re-scan: each file that may hold a confirmed literal (by the literals' hashes) is read again with an Aho-Corasick
-   automaton over the confirmed literals of the batch's files, which also finds them outside the places of step 1.
+4. re-scan: every file is read again, whatever step 1 made of it. A filter of bits over the confirmed literals (their
+   first bytes, and those with their length) tells at which bounded positions one may stand; the hashes of those pieces
+   are joined to the confirmed literals, and each file that holds some is searched with an Aho-Corasick automaton over
+   them. The filter passes more than there is and misses nothing, so literals are found in every place.
 
-The list of confirmed literals grows with the corpus, so it is never broadcast or collected: it is joined to the files by
-the literals' hashes, and each file carries the literals that concern it.
+The list of confirmed literals grows with the corpus, so it is never broadcast or collected: what is broadcast is the
+filter, of at most FILTER_MOST bits, and each file carries the literals that it holds.
 
 Defined results: null content is no case; empty files have none; a private key block is reported at the line on which it
 begins; repeated rows count one owner and each gets its result; a null repository is an owner of its own; CRLF lines keep
@@ -23,9 +25,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +38,11 @@ from corpusmill.session import cut
 
 #: A literal of so many owners is a placeholder.
 SHARED_OWNERS = 4
+#: Bits of the re-scan's filter: so many a confirmed literal, and no more than that whatever the corpus (16 MB). A fuller
+#: filter passes more pieces to the join and loses none.
+FILTER_BITS, FILTER_MOST = 48, 1 << 27
+#: Bytes of a literal that the filter knows (no literal is shorter), and characters of text that it takes at once.
+HEAD, STRETCH = 8, 4_000_000
 NOT_FILES = r"(?i)(?:^https?://|\.(?:pdf|png|jpe?g|tiff?)$)"
 
 #: A run of signs that may be a credential; those without a digit count only in the grouped form.
@@ -225,26 +233,117 @@ def confirmed(literals: DataFrame) -> DataFrame:
     )
 
 
+def _bits(keys: np.ndarray, log: int) -> list[np.ndarray]:
+    """The bits of a filter of 2^log bits that stand for each key."""
+    return [keys * m >> np.uint64(64 - log) for m in _MIX]
+
+
+_MIX = [np.uint64(xxhash.xxh3_64_intdigest(f"filter {i}") | 1) for i in range(3)]
+_LENGTH = np.uint64(xxhash.xxh3_64_intdigest("length") | 1)
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def _filter(sure: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(words, lengths, log): the filter over the confirmed literals as 2^log bits in 64-bit words, and their lengths in bytes."""
+    log = max(16, math.ceil(math.log2(min(FILTER_MOST, FILTER_BITS * sure.count() + 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [v.encode() for v in batch.column(0).to_pylist()]
+            heads = np.array([int.from_bytes(v[:HEAD], "little") for v in values], dtype=np.uint64)
+            lengths = np.array([len(v) for v in values], dtype=np.uint64)
+            at = np.unique(np.concatenate(_bits(heads, log) + _bits(heads + lengths * _LENGTH, log)))
+            bits = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
+
+    got = sure.select("value").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << log - 6, dtype=np.uint64)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    lengths = sure.select(F.octet_length("value").alias("n")).distinct().toArrow().column("n").to_numpy()
+    return words, np.sort(lengths).astype(np.int64), log
+
+
+def _passes(words: np.ndarray, log: int, keys: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(keys), dtype=bool)
+    for at in _bits(keys, log):
+        ok &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
+
+
+def pieces(text: bytes, words: np.ndarray, lengths: np.ndarray, log: int) -> Iterator[tuple[int, int]]:
+    """(start, end) in bytes of each bounded piece that may be a confirmed literal: all that are, and few besides."""
+    n = len(text) - HEAD + 1
+    if n <= 0 or not len(lengths):
+        return
+    signs = np.frombuffer(text, dtype=np.uint8)
+    alnum = _ALNUM[signs]
+    edge = np.ones(len(text) + 1, dtype=bool)
+    edge[1:-1] = ~(alnum[:-1] & alnum[1:])
+    begin = edge[:n].copy()
+    begin[2:] |= ((signs[:-2] == ord("-")) & (signs[1:-1] == ord("p")))[: n - 2]
+    starts = np.flatnonzero(begin)
+    heads = np.ndarray((n,), dtype="<u8", buffer=text, strides=(1,))[starts]
+    ok = _passes(words, log, heads)
+    for a, head in zip(starts[ok].tolist(), heads[ok]):
+        ends = a + lengths
+        ends = ends[ends <= len(text)]
+        ends = ends[edge[ends]]
+        for b in ends[_passes(words, log, head + (ends - a).astype(np.uint64) * _LENGTH)].tolist():
+            yield a, b
+
+
+def _holders(shared):
+    """(ord, hash) of the pieces of each file that may be confirmed literals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lengths, log = shared.value
+        for batch in batches:
+            ords, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows: set[tuple[int, int]] = set()
+            i = 0
+            while i < len(contents):
+                j, size = i + 1, len(contents[i])
+                while j < len(contents) and size + len(contents[j]) <= STRETCH:
+                    size += len(contents[j])
+                    j += 1
+                parts = [c.encode() for c in contents[i:j]]
+                text = b"\0".join(parts)
+                first = np.cumsum([0] + [len(x) + 1 for x in parts])
+                for a, b in pieces(text, words, lengths, log):
+                    rows.add((ords[i + int(np.searchsorted(first, a, "right")) - 1], xxhash.xxh3_64_intdigest(text[a:b]) - (1 << 63)))
+                i = j
+            cols = list(zip(*rows)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ord", "hash"])
+
+    return run
+
+
+def _hits(content: str, values: list[str] | None) -> list[tuple[int, int]]:
+    """(start, end) of the confirmed literals in a file, none within another."""
+    if not values:
+        return []
+    automaton = ahocorasick.Automaton()
+    for v in values:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    return _apart((e - len(v) + 1, e + 1) for e, v in automaton.iter(content) if _bounded(content, e - len(v) + 1, e + 1))
+
+
+def _apart(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, without those that begin in an earlier or longer one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        contents, values = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        wanted = {v for vs in values for v in vs or ()}
-        automaton = ahocorasick.Automaton()
-        for v in wanted:
-            automaton.add_word(v, v)
-        if wanted:
-            automaton.make_automaton()
         rows = []
-        for o, content in zip(batch.column(0).to_pylist(), contents):
-            spans = [(m.start(), m.end(), "") for m in _PEM.finditer(content)]
-            if wanted:
-                spans += [(e - len(v) + 1, e + 1, v) for e, v in automaton.iter(content) if _bounded(content, e - len(v) + 1, e + 1)]
-            spans.sort(key=lambda s: (s[0], -s[1]))
-            end = -1
-            for a, b, v in spans:
-                if a >= end:
-                    end = b
-                    rows.append((o, content.count("\n", 0, a) + 1, a, b))
+        for o, content, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for a, b in _apart(_hits(content, values) + [m.span() for m in _PEM.finditer(content)]):
+                rows.append((o, content.count("\n", 0, a) + 1, a, b))
         cols = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["ord", "line_no", "start", "end"]
@@ -260,11 +359,13 @@ def _bounded(text: str, a: int, b: int) -> bool:
 def suspects(file_nodes: DataFrame) -> DataFrame:
     """(ord, content, values): the files with confirmed literals or key blocks, and those literals."""
     literals = cut(index(file_nodes))
-    sure = confirmed(literals)
-    held = literals.filter(F.col("place") != BLOCK).select("ord", "hash", "value").distinct().join(sure.select("hash", "value"), ["hash", "value"], "left_semi")
-    held = held.unionByName(literals.filter(F.col("place") == BLOCK).select("ord", F.lit(0).cast("long").alias("hash"), F.lit(None).cast("string").alias("value")))
+    sure = cut(confirmed(literals).select("hash", "value"))
+    files = _files(file_nodes).select("ord", "content")
+    shared = file_nodes.sparkSession.sparkContext.broadcast(_filter(sure))
+    held = files.mapInArrow(_holders(shared), "ord long, hash long").distinct().join(sure, "hash").select("ord", "value")
+    held = held.unionByName(literals.filter(F.col("place") == BLOCK).select("ord", F.lit(None).cast("string").alias("value")))
     by_file = cut(held.groupBy("ord").agg(F.collect_set("value").alias("values")))
-    return _files(file_nodes).select("ord", "content").join(by_file, "ord").select("ord", "content", "values")
+    return files.join(by_file, "ord").select("ord", "content", "values")
 
 
 def spans(file_nodes: DataFrame) -> DataFrame:
@@ -283,19 +384,11 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for content, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if values:
-                automaton = ahocorasick.Automaton()
-                for v in values:
-                    automaton.add_word(v, v)
-                automaton.make_automaton()
-                hits = sorted(((e - len(v) + 1, e + 1) for e, v in automaton.iter(content) if _bounded(content, e - len(v) + 1, e + 1)), key=lambda s: (s[0], -s[1]))
-                parts, end = [], 0
-                for a, b in hits:
-                    if a >= end:
-                        parts += [content[end:a], "REDACTED"]
-                        end = b
-                content = "".join(parts) + content[end:]
-            out.append(_without_blocks(content))
+            parts, end = [], 0
+            for a, b in _hits(content, values):
+                parts += [content[end:a], "REDACTED"]
+                end = b
+            out.append(_without_blocks("".join(parts) + content[end:]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["ord", "content"])
 
 

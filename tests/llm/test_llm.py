@@ -86,6 +86,16 @@ def test_credentials(spark):
     assert text[10] == "x = 1\napi_key = 'REDACTED'\r\n" and text[13] == "y = 2\nPASS = ('REDACTED')\n" and "MIIE" not in text[12] and text[12].endswith("-----END RSA PRIVATE KEY-----")
 
 
+def test_confirmed_credentials_are_found_in_every_file(spark):
+    secret, password = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA", "Quiet/tarn.17-LEDGE"
+    rows = [(1, "o/a", "a.py", f"api_key = '{secret}'"), (2, "o/b", "b.sh", f"x\nPASSWORD='{password}'")]
+    # in no place that step 1 takes: behind a harmless name, within a longer run, as a flag, beside letters of two bytes
+    rows += [(3, "o/c", "c", f"trace_id = {secret}"), (4, "o/d", "d", f"é\nGET //host/x?a=1&id={secret}&b=2"), (5, "o/e", "e", f"mysql -p{password} ü"), (6, None, "f", f"{secret}x and x{secret}"), (7, None, "g", secret)]
+    df = files(spark, *rows)
+    assert {(r.ord, r.line_no) for r in credentials.found(df).collect()} == {(1, 1), (2, 2), (3, 1), (4, 2), (5, 1), (7, 1)}
+    assert {r.ord: r.content for r in credentials.redacted(df).collect()}[4] == "é\nGET //host/x?a=1&id=REDACTED&b=2"
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
