@@ -45,7 +45,8 @@ FILTER_BITS, FILTER_MOST = 48, 1 << 27
 HEAD, STRETCH = 8, 4_000_000
 NOT_FILES = r"(?i)(?:^https?://|\.(?:pdf|png|jpe?g|tiff?)$)"
 
-#: A run of signs that may be a credential; those without a digit count only in the grouped form.
+#: A run of signs that may be a credential. Without a digit none is random, so none is a placeholder by its owners and bare
+#: ones need no place in the index; behind a name or in a place they are judged like all others.
 _RUN = re.compile(r"[A-Za-z0-9+/_=.!?*%#$^&~\-]{8,}")
 _GROUPED = re.compile(r"(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9}$")
 #: Names behind which credentials stand (fixed values).
@@ -120,11 +121,10 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield from _in_parts(content)
     for m in _RUN.finditer(content):
         run = m[0]
-        if not any(c in run for c in "0123456789") and not _GROUPED.match(run):
-            continue
+        numbered = any(c in run for c in "0123456789") or _GROUPED.match(run)
         for start, value in _values(content, m.start(), run):
             found = judge(content, start, value)
-            if found:
+            if found and (numbered or found[0] != BARE):
                 yield start, content.count("\n", 0, start) + 1, value, *found
 
 
@@ -140,7 +140,7 @@ def _in_parts(content: str) -> Iterator[tuple[int, int, str, str, str]]:
         joined = head + m["one"] + m["two"] + m[1]
         border = len(head) + len(m["one"])
         for r in _RUN.finditer(joined):
-            if not r.start() < border < r.end() or not (any(c in r[0] for c in "0123456789") or _GROUPED.match(r[0])):
+            if not r.start() < border < r.end():
                 continue
             for start, value in _values(joined, r.start(), r[0]):
                 end = start + len(value)

@@ -86,6 +86,17 @@ def test_credentials(spark):
     assert text[10] == "x = 1\napi_key = 'REDACTED'\r\n" and text[13] == "y = 2\nPASS = ('REDACTED')\n" and "MIIE" not in text[12] and text[12].endswith("-----END RSA PRIVATE KEY-----")
 
 
+@pytest.mark.parametrize(
+    "line, place",
+    [
+        ("client = 'mongodb://archive:eCbeRSxtjP_QoH@stage.internal.test:9230/x'", credentials.PLACED), ("PASSWORD = 'oEBgrOWzPw#jKP';", credentials.NAMED),
+        ('secret: "bVlbLgFQIq!BUj"', credentials.NAMED), ("PASS = ('vZQOUFa'\n    'Gip%Xzh')", credentials.NAMED), ("header Content-Type_Of", None),
+    ],
+)
+def test_credentials_without_a_digit(line, place):
+    assert [x[3] for x in credentials.candidates(line)] == [place] * (place is not None)
+
+
 def test_confirmed_credentials_are_found_in_every_file(spark):
     secret, password = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA", "Quiet/tarn.17-LEDGE"
     rows = [(1, "o/a", "a.py", f"api_key = '{secret}'"), (2, "o/b", "b.sh", f"x\nPASSWORD='{password}'")]
