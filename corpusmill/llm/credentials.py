@@ -48,6 +48,7 @@ NOT_FILES = r"(?i)(?:^https?://|\.(?:pdf|png|jpe?g|tiff?)$)"
 #: A run of signs that may be a credential. Without a digit none is random, so none is a placeholder by its owners and bare
 #: ones need no place in the index; behind a name or in a place they are judged like all others.
 _RUN = re.compile(r"[A-Za-z0-9+/_=.!?*%#$^&~\-]{8,}")
+_TWO_KINDS = re.compile(r"(?:[A-Za-z]+|[^A-Z0-9]+|[^a-z0-9]+)$")
 _GROUPED = re.compile(r"(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9}$")
 #: Names behind which credentials stand (fixed values).
 _NAME = (
@@ -71,8 +72,19 @@ _FORM = re.compile(
     r"(?:AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{10,}|xo[a-z]{1,2}-[A-Za-z0-9\-]{16,}"
     r"|[a-z]{2,4}[-_](?:live|prod|test)[-_][A-Za-z0-9]{16,}|(?:sk|pk|rk)[-_][a-z]+-[A-Za-z0-9]{16,}|[a-z]{3}[-_](?=[A-Za-z]*\d)[A-Za-z0-9]{18,}|(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9})$"
 )
-#: Names and values that say that a value is no credential.
-_HARMLESS_NAME = re.compile(r"(?i)hash|digest|checksum|sha\d*|md5|integrity|revision|rev\b|commit|run_?id|trace|session_?id|request_?id|uuid|etag|nonce|version|public|fingerprint|limit|count|size|length|expir|ttl|icon|part number|ticket|\boid\b|build")
+#: Of these, the published token formats.
+_PUBLISHED = re.compile(r"AKIA[A-Z2-7]{16}$|gh[pousr]_|eyJ[A-Za-z0-9_\-]{8,}\.eyJ|xo[a-z]{1,2}-")
+#: Names and values that say that a value is no credential. A name does where it is a whole segment (of a snake, kebab or
+#: camel name) and the one that names the value; `password_hash` does, `hash_password`, `shard` and `account` do not.
+_SEGMENT = (
+    r"hash(?:es)?|digests?|(?:check|sha\d*|md5)sums?|sha\d*|md5|integrity|revisions?|rev|commits?|run[_. -]?id|trace(?:[_. -]?id|parent)?|(?:session|request)[_. -]?id|uuid|etag|nonce|versions?"
+    r"|public(?:[_. -]?key)?|fingerprint|limit|count|size|length|expir(?:es|y|ed|ation)|ttl|icon|part number|ticket|oid|build"
+)
+_HARMLESS_NAME = re.compile(
+    rf"(?:(?<![A-Za-z0-9])(?i:{_SEGMENT})|(?<=[a-z0-9])(?=[A-Z])(?i:{_SEGMENT}))(?![A-Za-z])(?:[_. -]?(?i:id|no|number|hex|value|key))?(?:[\"'\]`)]*\s*[:=]*[>#]?\s*(?:[a-z]{{0,2}}[\"'`(\[])?|[ \t]+(?:is|was|of)[ \t]+[\"'`]?)$"
+)
+#: How each such name ends, before what may stand between it and the value: a cheap test.
+_HARMLESS_LETTER = re.compile(r"[A-Za-z0-9][\"'\]`)]*\s*[:=]*[>#]?\s*(?:[a-z]{0,2}[\"'`(\[])?$|\b(?:is|was|of)[ \t]+[\"'`]?$")
 _HARMLESS = re.compile(
     r"(?i)(?:[*x.\-_#•?…0]+|\$.*|%.*|changeme.*|change[_-].*|.*example.*|placeholder.*|dummy.*|todo.*|redacted.*|your[_-].*|my[_-].*|insert.*|replace.*|xxx+.*"
     r"|(?:pass(?:word|wd)?|test|admin|secret|abc|abcd|qwerty|letmein|welcome|foo|bar|user|demo|sample|default)[\W_]*\d{0,6}[!?]?|0?1?234567?8?9?0?|.*(.)\1{5,}.*"
@@ -86,6 +98,9 @@ _ORDINARY = re.compile(
     r"|\d{4}-\d\d-\d\d.*|[A-Z]{2,4}-\d+(?:-\w+)*|[A-Z]{1,3}\d{6,9})$"
 )
 
+#: Words with hyphens or dots between them (surnames, places, headers): in a sentence, with no name assigned, no password.
+_COMPOUND = re.compile(r"[A-Z]?[a-z]+(?:[._-][A-Z]?[a-z]+)+$")
+
 #: Where a candidate stands.
 #: Bare literals are indexed, so that a literal confirmed elsewhere is found here too, but confirm nothing.
 NAMED, PLACED, FORMED, HANDED, BARE, BLOCK = "named", "placed", "formed", "handed", "bare", "block"
@@ -123,6 +138,8 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str]]:
         run = m[0]
         numbered = any(c in run for c in "0123456789") or _GROUPED.match(run)
         for start, value in _values(content, m.start(), run):
+            if _TWO_KINDS.match(value) and not _FORM.match(value):
+                continue  # a word, whatever its place
             found = judge(content, start, value)
             if found and (numbered or found[0] != BARE):
                 yield start, content.count("\n", 0, start) + 1, value, *found
@@ -181,20 +198,19 @@ def judge(content: str, start: int, value: str) -> tuple[str, str] | None:
         return None
     if _LOOKUP.search(before):
         return None
-    if (m := _NAMED.search(before)) and not _HARMLESS_NAME.search(m["name"]):
+    if m := _NAMED.search(before):
         quoted = m["quote"]
         if shaped or form == "random" and not _ORDINARY.match(value) or not _ORDINARY.match(value):
             if quoted and after[:1] == quoted or not quoted and (not after or after[0] in " \t\r,;\"'`" or not after.strip()):
                 return NAMED, form
         return None
-    if _HARMLESS_NAME.search(before[-40:]):
-        return None
-    if _PLACE.search(before) and not _ORDINARY.match(value):
+    harmless = _HARMLESS_LETTER.search(before[-60:]) and _HARMLESS_NAME.search(before[-60:])
+    if _PLACE.search(before) and not harmless and not _ORDINARY.match(value):
         return PLACED, form
-    if shaped and (not before or not (before[-1].isalnum() or before[-1] in "/+")) and not (after[:1].isalnum() or after[:1] in ("/", "+")):
+    if shaped and (not harmless or _PUBLISHED.match(value)) and (not before or not (before[-1].isalnum() or before[-1] in "/+")) and not (after[:1].isalnum() or after[:1] in ("/", "+")):
         return FORMED, form
-    if not _ORDINARY.match(value):
-        return (HANDED if _HANDED.search(before) else BARE), form
+    if not harmless and not _ORDINARY.match(value):
+        return (HANDED if _HANDED.search(before) and not _COMPOUND.match(value) else BARE), form
     return None
 
 

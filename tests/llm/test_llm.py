@@ -91,12 +91,28 @@ def test_credentials(spark):
     [
         ("client = 'mongodb://archive:eCbeRSxtjP_QoH@stage.internal.test:9230/x'", credentials.PLACED), ("PASSWORD = 'oEBgrOWzPw#jKP';", credentials.NAMED),
         ('secret: "bVlbLgFQIq!BUj"', credentials.NAMED), ("PASS = ('vZQOUFa'\n    'Gip%Xzh')", credentials.NAMED), ("header Content-Type_Of", None),
+        ("The code for the office in Harnwell-Ost is Thornaby-Reese.", None), ("Login for the demo box: window / vSgcXKlqTB!wLP", credentials.HANDED),
     ],
 )
 def test_credentials_without_a_digit(line, place):
     assert [x[3] for x in credentials.candidates(line)] == [place] * (place is not None)
 
 
+TOKEN = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA"
+
+
+@pytest.mark.parametrize(
+    "line, hit",
+    [
+        (f"SHARD_PRIVATE_TOKEN={TOKEN}", True), (f"account_key = '{TOKEN}'", True), ("digest_pwd = 'Falcon-ember10'", True), ("CREATE USER version IDENTIFIED BY 'P4granite_MEADOW';", True),
+        ("x-limiter: ghp_Xy7Kp2Lm9Qw4Zt8Rv3Nb6Hc1Jd5Fg0Sa2Tu4Ei", True), ("Login for the demo box: limiter / tulip1977!", True), ("var versionKennwort = 'winter1982!'", True),
+        (f"digest = '{TOKEN}'", False), (f"run_id: {TOKEN}", False), (f"public_key={TOKEN}", False), (f'{{"commitHash": "{TOKEN}"}}', False), ("sha256sum: kst_GWisSnPYc3QegnRhaIQu", False),
+    ],
+)
+def test_harmless_names_are_whole_segments(line, hit):
+    assert any(x[3] != credentials.BARE for x in credentials.candidates(line)) is hit
+
+
 def test_confirmed_credentials_are_found_in_every_file(spark):
     secret, password = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA", "Quiet/tarn.17-LEDGE"
     rows = [(1, "o/a", "a.py", f"api_key = '{secret}'"), (2, "o/b", "b.sh", f"x\nPASSWORD='{password}'")]
