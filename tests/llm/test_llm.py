@@ -126,6 +126,17 @@ def test_confirmed_credentials_are_found_in_every_file(spark):
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "2692 Harrow Ave\nOxmere, OR 97275", "12 Elm St", "at 12 Elm St Oxmere", "9 Salter Lane", "at 9 Old Salter\nRd", "at 9 Old Salter\n\tMews in Oxmere", "7 Harrow Parkway",
+        "Calle\nMayor 5", "Lindenstraße\n12", "1234 Northumberlandshire-Westerly Harrowgatestone Underhillington Dr",
+    ],
+)
+def test_addresses_are_searched_at_every_street_word(text):
+    assert any(personal._ADDRESS.finditer(text)) and [x[3] for x in personal.propose(text) if x[3] == "address"] == ["address"]
+
+
 def test_personal(spark):
     names = ["Jonas Estradello", "Yara Zielenko", "Sanne Marrowdale", "Jonas Zielenko", "Yara Marrowdale", "Sanne Estradello"]
     rows = [(i, "o/r", "n.md", f"Thanks to {n} for the review.\nThe Granite Store keeps a granite store.\nCall {n} back on +1 555 555 0103 before noon.") for i, n in enumerate(names)]
