@@ -1,20 +1,28 @@
 """Parsing with derivatives, memoised.
 
-The language still to be read is a set of sequences of grammar symbols, kept as interned stacks. Its derivative by a
-token is the set of what remains after each way to read that token; derivatives are kept by (language, token), so that
-files of one language share them and most tokens cost a look-up. An empty derivative marks the token that no program
-continues with; a language at the end that holds no empty sequence marks a cut-off text.
+The language still to be read is a set of sequences of grammar symbols, kept by their first symbols: each symbol once, with
+the language of all that may follow it. Ways to read a bracket so share what stands around it, and n brackets inside each
+other take n languages whatever the number of their readings. The derivative by a token is the set of what remains after
+each way to read that token; derivatives are kept by (language, token), so that files of one language share them and most
+tokens cost a look-up. An empty derivative marks the token that no program continues with; a language at the end that
+holds no empty sequence marks a cut-off text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from functools import cache
 
 from corpusmill.llm.grammars import LANGUAGES
 
 #: Languages kept before the memory is begun anew.
-MOST_LANGUAGES = 60_000
+MOST_LANGUAGES = 100_000
+#: Keys of a language beside its tokens.
+HEADS, END, NUMBER = 0, 1, 2
+
+# rules that may be empty are looked through one inside the other, as deep as a text has them
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
 
 
 class Grammar:
@@ -121,6 +129,7 @@ class Parser:
         line = {"js": _TEMPLATE + "\\n|", "go": "\\n|", "python": r"\n[ \t]*|"}.get(self.style, "")
         self.quick = re.compile(f"(?:{spec['skip']})*+({line}{pattern}|[\\s\\S]|\\Z)")
         self.classes: dict[str, str] = {}
+        self.numbered = 0
         self._begin()
 
     def _kind(self, word: str) -> str:
@@ -134,67 +143,99 @@ class Parser:
         return t
 
     def _begin(self) -> None:
-        self.stacks: dict[tuple, int] = {}
-        self.stack: list[tuple | None] = [None]  # 0 is the empty stack
-        self.known: dict[frozenset, dict] = {}
-        self.start = self._language(frozenset([self._push(self.grammar.names["start"], 0)]))
-
-    def _push(self, symbol, rest: int) -> int:
-        key = (symbol, rest)
-        n = self.stacks.get(key)
-        if n is None:
-            n = self.stacks[key] = len(self.stack)
-            self.stack.append(key)
-        return n
-
-    def _language(self, stacks: frozenset) -> dict:
-        d = self.known.get(stacks)
+        self.known: dict[tuple, dict] = {}
+        self.merged: dict[frozenset, dict] = {}
+        self.empty, self.nothing = self._language(True, {}), self._language(False, {})
+        self.start = self._language(False, {self.grammar.names["start"]: self.empty})
+
+    def _language(self, end: bool, heads: dict) -> dict:
+        """The language of `end` (the empty sequence) and of each head symbol with its rests, kept once. A language is a
+        dictionary of its derivatives by token; HEADS, END and NUMBER hold what it is made of."""
+        key = (end, *sorted((str(s), rest[NUMBER]) for s, rest in heads.items()))
+        d = self.known.get(key)
         if d is None:
-            d = self.known[stacks] = {None: stacks}
+            d = self.known[key] = {HEADS: heads, END: end, NUMBER: self.numbered}
+            self.numbered += 1
         return d
 
+    def _union(self, languages: list[dict]) -> dict:
+        """Sequences that begin with the same symbol share it; their rests are united, so that alternatives within one
+        bracket stay one tail for all brackets inside it."""
+        if len(languages) == 1:
+            return languages[0]
+        numbers = frozenset(x[NUMBER] for x in languages)
+        out = self.merged.get(numbers)
+        if out is None:
+            rests: dict = {}
+            for x in {x[NUMBER]: x for x in languages}.values():
+                for s, rest in x[HEADS].items():
+                    rests.setdefault(s, []).append(rest)
+            heads = {s: self._union(r) for s, r in rests.items()}
+            out = self.merged[numbers] = self._language(any(x[END] for x in languages), heads)
+        return out
+
+    def _push(self, symbols: tuple, rest: dict) -> dict:
+        for s in reversed(symbols):
+            rest = self._language(False, {s: rest})
+        return rest
+
     def derive(self, language: dict, token: str) -> dict:
         """The derivative of a language by a token, from memory if it was asked for before."""
-        out, nullable = set(), self.grammar.nullable
-        for n in language[None]:
-            while n:
-                symbol, rest = self.stack[n]
-                if isinstance(symbol, str):
-                    if symbol == token:
-                        out.add(rest)
-                    break
-                for remains in self.grammar.after(symbol, token):
-                    m = rest
-                    for s in reversed(remains):
-                        m = self._push(s, m)
-                    out.add(m)
-                if not nullable[symbol]:
-                    break
-                n = rest
-        d = language[token] = self._language(frozenset(out))
+        known = language.get(token)
+        if known is not None:
+            return known
+        out, nullable = [], self.grammar.nullable
+        for symbol, rest in language[HEADS].items():
+            if isinstance(symbol, str):
+                if symbol == token:
+                    out.append(rest)
+                continue
+            out += [self._push(remains, rest) for remains in self.grammar.after(symbol, token)]
+            if nullable[symbol]:
+                out.append(self.derive(rest, token))
+        d = language[token] = self._union(out) if out else self.nothing
         return d
 
     def complete(self, language: dict) -> bool:
         """Whether the language holds the empty sequence."""
-        for n in language[None]:
-            while n and not isinstance(self.stack[n][0], str) and self.grammar.nullable[self.stack[n][0]]:
-                n = self.stack[n][1]
-            if n == 0:
+        seen, todo = set(), [language]
+        while todo:
+            x = todo.pop()
+            if x[END]:
                 return True
+            for s, rest in x[HEADS].items():
+                if not isinstance(s, str) and self.grammar.nullable[s] and rest[NUMBER] not in seen:
+                    seen.add(rest[NUMBER])
+                    todo.append(rest)
         return False
 
+    def _renew(self, language: dict) -> dict:
+        """Begin the memory anew, within a text as between texts; only what the text may go on with is kept."""
+        self._begin()
+        copies: dict[int, dict] = {}
+        todo = [language]
+        while todo:
+            x = todo[-1]
+            missing = [r for r in x[HEADS].values() if r[NUMBER] not in copies]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            copies[x[NUMBER]] = self._language(x[END], {s: copies[r[NUMBER]] for s, r in x[HEADS].items()})
+        return copies[language[NUMBER]]
+
     def parse(self, text: str) -> tuple[str, int] | None:
         """None for a valid text; else ("token" or "end", line of the failing token)."""
-        if len(self.known) > MOST_LANGUAGES:
-            self._begin()
         language = self.start
         if not _RAW.search(text) and (words := self._words(text)) is not None:
             for token in words:
                 following = language.get(token)
                 if following is None:
+                    if len(self.known) > MOST_LANGUAGES:
+                        language = self._renew(language)
                     following = self.derive(language, token)
                 language = following
-                if not language[None]:
+                if language is self.nothing:
                     break
             else:
                 if self.complete(language):
@@ -203,9 +244,11 @@ class Parser:
         for token, at in self.tokens(text):
             following = language.get(token)
             if following is None:
+                if len(self.known) > MOST_LANGUAGES:
+                    language = self._renew(language)
                 following = self.derive(language, token)
             language = following
-            if not language[None]:
+            if language is self.nothing:
                 return "token", text.count("\n", 0, at) + 1
         return None if self.complete(language) else ("end", text.count("\n") + 1)
 

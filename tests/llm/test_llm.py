@@ -1,7 +1,11 @@
 """Small cases of the text operators, each against brute force, an exact round trip or stated results."""
 
+import ast
 import json
 import random
+import re
+import time
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +214,63 @@ def test_every_cut_and_every_bracket_counts(language):
         assert p.parse(text[:i] + text[i + 1 :]) is not None, text[:i]
 
 
+def nested(start, opening, inside, closing, end, n):
+    return start + opening * n + inside + closing * n + end
+
+
+DEEP = {
+    "py": [("x = ", "(", "1", ")", "\n"), ("x = ", "[", "1", "]", "\n"), ("x = ", "{1: ", "1", "}", "\n"), ("x = ", "f(", "1", ")", "\n")],
+    "json": [("", "[", "1", "]", ""), ("", '{"a": ', "1", "}", "")],
+    "js": [("x = ", "(", "1", ")", ";\n"), ("x = ", "[", "1", "]", ";\n"), ("x = ", "{a: ", "1", "}", ";\n"), ("", "if (x) {", "y();", "}", "\n"), ("", "f(() => {", "y()", "});", "\n")],
+    "rs": [("fn f() { let x = ", "(", "1", ")", "; }"), ("fn f() { let x = ", "[", "1", "]", "; }"), ("fn f() { let x = ", "f(", "1", ")", "; }"), ("fn f() {", "if x {", "y();", "}", "}"), ("fn f() { ", "match x { 1 => ", "y", "}", "}")],
+    "go": [("package a\nvar x = ", "(", "1", ")", "\n"), ("package a\nvar x = ", "f(", "1", ")", "\n"), ("package a\nfunc f() {\n", "if x {\n", "y()\n", "}\n", "}\n"), ("package a\nvar x = T", "{", "1", "}", "\n")],
+    "java": [("class A { int x = ", "(", "1", ")", "; }"), ("class A { int x = ", "f(", "1", ")", "; }"), ("class A { void f() {", "if (x) {", "y();", "}", "} }"), ("class A { int[] x = ", "{", "1", "}", "; }")],
+    "c": [("int x = ", "(", "1", ")", ";"), ("int x = ", "f(", "1", ")", ";"), ("int f() {", "if (x) {", "y();", "}", "}"), ("int x[] = ", "{", "1", "}", ";")],
+}
+
+
+@pytest.mark.parametrize("language", ["py", "json", "js", "ts", "rs", "go", "java", "c", "cpp"])
+def test_deep_brackets_take_linear_time(language):
+    for case in DEEP[{"ts": "js", "cpp": "c"}.get(language, language)]:
+        began = time.time()
+        text = nested(*case, 200)
+        assert syntax.failure(language, text) is None, text[:40]
+        assert syntax.failure(language, text[: len(text) // 2 + 3]) is not None, text[:40]
+        assert syntax.failure(language, nested(*case[:3], "", "", 200)) is not None
+        assert time.time() - began < 2, text[:40]
+
+
+def test_python_and_json_agree_with_exact_parsers():
+    """Brute force: every text of VALID and BROKEN with one token left out or doubled."""
+
+    def exact(language, text):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text) if language == "py" else json.loads(text)
+        except (ValueError, SyntaxError):
+            return False
+        return True
+
+    wrong = []
+    for language in ("py", "json"):
+        for text in VALID[language]:
+            words = re.findall(r"\w+|\s+|[^\w\s]", text)
+            for i in range(len(words)):
+                for changed in (words[:i] + words[i + 1 :], words[: i + 1] + words[i:]):
+                    t = "".join(changed)
+                    if t.strip() and exact(language, t) and syntax.failure(language, t) is not None:
+                        wrong.append(t)
+    assert not wrong
+
+
+def test_memory_is_bounded_within_a_file(monkeypatch):
+    monkeypatch.setattr(derivatives, "MOST_LANGUAGES", 300)
+    p = derivatives.Parser(derivatives.LANGUAGES["rs"])
+    text = "fn f() { " + "let x = [f((1, a[2])), g({3})]; " * 5 + "if a { b(); } " * 40 + "}"
+    assert p.parse(text) is None and p.parse(text[:-2]) is not None and len(p.known) < 2_000
+
+
 def test_very_long_and_deep():
     assert syntax.failure("json", "[" * 40_000 + "]" * 40_000) is None and syntax.failure("json", "[" * 40_000 + "]" * 39_999) is not None
     assert syntax.failure("py", "x = 1\n" * 50_000) is None
