@@ -55,12 +55,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     _JSON_POSTS + "SELECT payload_id, id_str, full_text, favorite_count, in_reply_to_status_id_str FROM posts",
 )
 def p1_posts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.post_table(table(spark, d, "timelines")).drop("post_key", "parent_post_key")
+    return nested.post_table(table(spark, d, "timelines")).drop("post_key", "parent_post_key", "parent_post_id")
 
 
-@query("p1_attachments")
+#: The post around a node by the paths of the JSON tree: of those that begin its path, the longest.
+_AROUND = "LEFT JOIN posts p ON p.payload_id = {0}.payload_id AND p.payload = {0}.payload AND starts_with({0}.fullkey, p.fullkey || '.') QUALIFY row_number() OVER (PARTITION BY {0}.payload_id, {0}.payload, {0}.id ORDER BY strlen(p.fullkey) DESC NULLS LAST) = 1"
+_JSON_TREE = """WITH valid AS (SELECT DISTINCT payload_id, payload FROM timelines WHERE json_valid(payload)),
+nodes AS (SELECT v.payload_id, v.payload, t.id, t.key, t.value, t.fullkey, t.type FROM valid v, json_tree(v.payload::JSON) t),
+posts AS (SELECT *, value ->> 'id_str' AS id_str FROM nodes WHERE key = 'legacy' AND type = 'OBJECT' AND (value ->> 'full_text') IS NOT NULL)
+"""
+
+
+@query("p1_post_parents", _JSON_TREE + "SELECT n.payload_id, n.id_str, p.id_str AS parent_post_id FROM posts n " + _AROUND.format("n"))
+def p1_post_parents(spark: SparkSession, d: str) -> DataFrame:
+    return nested.post_table(table(spark, d, "timelines")).select("payload_id", "id_str", "parent_post_id")
+
+
+@query(
+    "p1_attachments",
+    _JSON_TREE
+    + """, a AS (SELECT *, regexp_extract(fullkey, 'entities\\.(\\w+)\\[\\d+\\]$', 1) AS kind FROM nodes WHERE type = 'OBJECT' AND regexp_matches(fullkey, '\\.(extended_)?entities\\.(hashtags|user_mentions|media|urls)\\[\\d+\\]$'))
+    SELECT a.payload_id, p.id_str AS post_id, a.kind, CASE a.kind WHEN 'hashtags' THEN a.value ->> 'text' WHEN 'user_mentions' THEN a.value ->> 'screen_name' WHEN 'media' THEN a.value ->> 'media_url_https' ELSE a.value ->> 'expanded_url' END AS value FROM a """
+    + _AROUND.format("a"),
+)
 def p1_attachments(spark: SparkSession, d: str) -> DataFrame:
-    return nested.attachment_table(table(spark, d, "timelines"))
+    return nested.attachment_table(table(spark, d, "timelines")).drop("post_key", "attachment_key")
 
 
 @query(

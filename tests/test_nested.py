@@ -31,6 +31,30 @@ def test_deep_nesting():
     assert len(nested.label(value, lambda p, n: None)) == 0
 
 
+def test_deep_records_keep_all_nodes(spark):
+    deep = '{"a": ' * 100_000 + json.dumps(post(2, re="1")) + "}" * 100_000
+    lists = "[" * 100_000 + json.dumps(post(2, re="1")) + "," + json.dumps(post(1)) + "]" * 100_000
+    df = table(spark, (1, '{"x": ' + json.dumps(post(1)) + ', "y": ' + deep + "}"), (2, lists), (3, "[" * 100_000))
+    assert sorted(map(tuple, nested.reply_links(df).collect())) == [(1, "1", "2"), (2, "1", "2")]
+    assert {r.payload_id: (r.valid, r.n_posts) for r in nested.payload_table(df).collect()} == {1: (True, 2), 2: (True, 2), 3: (False, 0)}
+
+
+def test_reader_with_a_stack_agrees_with_the_recursive_one():
+    good = ['{"a": [1, -2.5e3, true, null, "\\u00e9\\n"], "b": {}, "a": []}', " [] ", '"x"', "0", "-0.0", "[[],[{}]]", '{"a":{"b":[false]}}', "1e400"]
+    bad = ["", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "01", "[NaN]", "Infinity", "tru", '"\t"', "[1]]", '{"a":1,}', "{1:2}", "nul", "-", "[", '{"a":1']
+    for text in good + bad:
+        try:
+            want = json.loads(text, parse_constant=nested._no_constant)
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested._read(text)
+        except ValueError:
+            got = ValueError
+        assert got == want, text
+    assert nested.parse_strict("[" + "9" * 5_000 + "]") == (True, ["9" * 5_000])
+
+
 def test_replies_and_dirty_payloads(spark):
     good = json.dumps({"x": [post(1), {"deep": {"items": [post(2, re="1"), post(3, re=2), post(3, re="2")]}}, post(4, re="9"), post(5, re=None)]})
     df = table(spark, (1, good), (1, good), (2, None), (3, ""), (4, good[:40]), (5, '{"legacy": {"full_text": null}}'), (6, "[NaN]"), (7, "{}"))
