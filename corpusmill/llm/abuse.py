@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import attached, cut
+
 #: Rated documents of each kind that the models are fitted on at most, chosen by hash, none longer than SAMPLE_CHARS.
 SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
 ROUNDS = 4
@@ -214,12 +216,11 @@ def fit(rated: list[tuple[str | None, float]]) -> Model | None:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
-    rated = (
-        labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("rate"))
-        .join(documents.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
-        .withColumn("h", F.xxhash64("doc_id"))
-    )
-    sample = [rated.filter(c).orderBy("h", "doc_id").limit(SAMPLE_DOCS) for c in (F.col("rate") > 0.5, F.col("rate") <= 0.5)]
+    """The sample is chosen among ratings, so that only the texts of rated documents are looked at and none is moved but theirs."""
+    rated = cut(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("rate")))
+    texts = documents.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    held = attached(texts, rated, ["doc_id"], F.lit(16)).dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    sample = [held.filter(c).orderBy("h", "doc_id").limit(SAMPLE_DOCS) for c in (F.col("rate") > 0.5, F.col("rate") <= 0.5)]
     return fit([(r.text, r.rate) for r in sample[0].unionByName(sample[1]).select("text", "rate", "h", "doc_id").collect()])
 
 

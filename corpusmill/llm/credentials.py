@@ -1,7 +1,8 @@
 """Credentials embedded in files: corpus-wide index of literals, owner counts, confirmation, and a re-scan by automata.
 
 1. index: every literal that stands where a credential can stand (behind a telling name, in a connection string, on a
-   command line, in a sentence that hands one over) or has a credential's form is listed with its file and owner.
+   command line, in a sentence that hands one over) or has a credential's form is listed with its file and owner. Beside
+   the fixed list, names are learnt: those to which many owners assign random literals of several alphabets.
 2. suppress: a random literal in the files of SHARED_OWNERS or more owners is a placeholder or an example (a password that
    people make up of words may well be chosen by many, so for those only their form counts); so are blanks, masks,
    look-ups, checksums, revisions and plain words.
@@ -12,7 +13,8 @@
    them. The filter passes more than there is and misses nothing, so literals are found in every place.
 
 The list of confirmed literals grows with the corpus, so it is never broadcast or collected: what is broadcast is the
-filter, of at most FILTER_MOST bits, and each file carries the literals that it holds.
+filter, of at most FILTER_MOST bits, and each file carries the literals that it holds. Texts of files that hold none are
+never moved (`session.attached`).
 
 Defined results: null content is no case; empty files have none; a private key block is reported at the line on which it
 begins; repeated rows count one owner and each gets its result; a null repository is an owner of its own; CRLF lines keep
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import attached, cut, small
 
 #: A literal of so many owners is a placeholder.
 SHARED_OWNERS = 4
@@ -53,18 +55,22 @@ _GROUPED = re.compile(r"(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9}$")
 #: Names behind which credentials stand (fixed values).
 _NAME = (
     r"pass(?:word|wd|phrase|wort|code)?|pwd|pw|kennwort|secret|token|api[_.-]?key|creds?|credentials?|auth|(?:access|signing|private|encryption|licen[sc]e|secret|master|shared|service|account)[_.-]?key"
-    r"|relay[_.-]?code|bearer|svc|k2|login|pin|otp|webhook"
+    r"|bearer|login|pin|otp|webhook"
 )
 #: What may stand right before a literal, at the end of the text before it. Named: a telling name and an assignment.
 _NAMED = re.compile(
     r"(?i)(?P<name>[a-z0-9_.\-]*(?:" + _NAME + r"))(?:[\"'\]`]*\s*(?::\s*(?:&(?:'static\s+)?str|string|any)\s*=|[:=]>?|:=)\s*\(?\s*|[\"'\]`]*\s+(?=[\"'`]))(?:[a-z]{0,2}(?P<quote>[\"'`]))?$"
 )
+#: A name of any kind that a literal is assigned to.
+_ASSIGNED = re.compile(
+    r"(?i)(?P<name>[a-z_$][a-z0-9_$.\-]*)(?:[\"'\]`]*\s*(?::\s*(?:&(?:'static\s+)?str|string|any)\s*=|[:=]>?|:=)\s*\(?\s*|[\"'\]`]*\s+(?=[\"'`]))(?:[a-z]{0,2}[\"'`])?$"
+)
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@\"'`]*:$")
 _PLACE = re.compile(
     r"(?i)(?:\b(?:bearer|basic|token)[ :]+[\"']?|\s-u\s+[\"']?[\w.\-]+:|\s-p\s*[\"']?|--(?:password|token|secret|key)[= ]+[\"']?|\bidentified by [\"']?|(?:password|token|secret|pwd|key|creds?)=[\"']?)$"
 )
 _HANDED = re.compile(
-    r"(?i)\b(?:login|password|passwd|pass|pwd|pw|kennwort|passphrase|token|secret|creds?|credentials?|key|svc|k2|code|auth|bearer|new value)\b[^\n]{0,60}?(?:[`\"']|:\s*|\s/\s|\bis\s|\bvalue\s|\bkey\s|\btoken\s)[`\"']?$"
+    r"(?i)\b(?:login|password|passwd|pass|pwd|pw|kennwort|passphrase|token|secret|creds?|credentials?|key|code|auth|bearer|new value)\b[^\n]{0,60}?(?:[`\"']|:\s*|\s/\s|\bis\s|\bvalue\s|\bkey\s|\btoken\s)[`\"']?$"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Forms that tell by themselves (published token formats, and the general forms prefix + separator + random and groups).
@@ -104,6 +110,9 @@ _COMPOUND = re.compile(r"[A-Z]?[a-z]+(?:[._-][A-Z]?[a-z]+)+$")
 #: Where a candidate stands.
 #: Bare literals are indexed, so that a literal confirmed elsewhere is found here too, but confirm nothing.
 NAMED, PLACED, FORMED, HANDED, BARE, BLOCK = "named", "placed", "formed", "handed", "bare", "block"
+#: A name tells of credentials, though no list has it, if random literals of so many values in the files of so many owners
+#: are assigned to it, and of two alphabets or more: checksums, revisions and ids have one.
+LEARNED_VALUES, LEARNED_OWNERS = 3, 3
 
 
 def entropy(s: str) -> float:
@@ -128,10 +137,22 @@ def password_like(v: str) -> bool:
     return kinds >= 3 or (kinds == 2 and bool(re.search(r"\d", v)) and not re.fullmatch(r"[a-z]+[_-]?\d{1,2}|v?\d+(?:\.\d+)*|\d+[a-z]{1,3}", v)) and bool(re.search(r"[A-Za-z]", v))
 
 
-def candidates(content: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, line_no, value, place, form) of each literal where a credential may stand."""
+def alphabet(v: str) -> str:
+    return "hex" if re.fullmatch(r"[0-9a-fA-F]+", v) else "base64" if re.search(r"[+/=]", v) else "mixed"
+
+
+def assigned(before: str) -> str | None:
+    """The last word of the name that the literal behind `before` is assigned to."""
+    m = _ASSIGNED.search(before)
+    words = re.findall(r"[A-Z]+(?![a-z])\d*|[A-Z]?[a-z]+\d*|\d+", m["name"]) if m else []
+    return words[-1].lower() if words else None
+
+
+def candidates(content: str) -> Iterator[tuple[int, int, str, str, str, str | None]]:
+    """(start, line_no, value, place, form, name) of each literal where a credential may stand; a bare one's name is the
+    last word of what it is assigned to."""
     for m in _PEM.finditer(content):
-        yield m.start(), content.count("\n", 0, m.start()) + 1, m[0], BLOCK, ""
+        yield m.start(), content.count("\n", 0, m.start()) + 1, m[0], BLOCK, "", None
     if "'\n" in content or '"\n' in content or "+" in content:
         yield from _in_parts(content)
     for m in _RUN.finditer(content):
@@ -149,7 +170,7 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str]]:
 _PARTS = re.compile(r"([\"'])(?P<one>[^\"'\n]{2,})\1[ \t]*\+?[ \t\r]*\n[ \t]*([\"'])(?P<two>[^\"'\n]{1,})\3")
 
 
-def _in_parts(content: str) -> Iterator[tuple[int, int, str, str, str]]:
+def _in_parts(content: str) -> Iterator[tuple[int, int, str, str, str, str | None]]:
     """Candidates that go over the end of a part. The value is as the file has it, with the quotes between its parts."""
     for m in _PARTS.finditer(content):
         begin = content.rfind("\n", 0, m.start()) + 1
@@ -161,7 +182,7 @@ def _in_parts(content: str) -> Iterator[tuple[int, int, str, str, str]]:
                 continue
             for start, value in _values(joined, r.start(), r[0]):
                 end = start + len(value)
-                if start < border < end and (found := judge(joined, start, value)) and found[0] != BARE:
+                if start < border < end and (found := judge(joined, start, value)) and (found[0] != BARE or found[2]):
                     a, b = begin + start, m.start("two") + end - border
                     yield a, content.count("\n", 0, a) + 1, content[a:b], *found
 
@@ -182,8 +203,8 @@ def _values(content: str, start: int, run: str) -> Iterator[tuple[int, str]]:
         yield start, run
 
 
-def judge(content: str, start: int, value: str) -> tuple[str, str] | None:
-    """(place, form), or None for a literal that is no candidate."""
+def judge(content: str, start: int, value: str) -> tuple[str, str, str | None] | None:
+    """(place, form, name), or None for a literal that is no candidate."""
     form = "random" if random_like(value) else "password" if password_like(value) else "word"
     shaped = bool(_FORM.match(value))
     if form == "word" and not shaped or _UUID.match(value) or _HARMLESS.match(value):
@@ -193,7 +214,7 @@ def judge(content: str, start: int, value: str) -> tuple[str, str] | None:
     if after[:1] in ("(", "[", "{") or after[:3] == "://":
         return None
     if _URL.search(before):
-        return (PLACED, form) if after[:1] == "@" else None
+        return (PLACED, form, None) if after[:1] == "@" else None
     if after[:1] == "@" or before[-1:] == "@":
         return None
     if _LOOKUP.search(before):
@@ -202,15 +223,17 @@ def judge(content: str, start: int, value: str) -> tuple[str, str] | None:
         quoted = m["quote"]
         if shaped or form == "random" and not _ORDINARY.match(value) or not _ORDINARY.match(value):
             if quoted and after[:1] == quoted or not quoted and (not after or after[0] in " \t\r,;\"'`" or not after.strip()):
-                return NAMED, form
+                return NAMED, form, None
         return None
     harmless = _HARMLESS_LETTER.search(before[-60:]) and _HARMLESS_NAME.search(before[-60:])
     if _PLACE.search(before) and not harmless and not _ORDINARY.match(value):
-        return PLACED, form
+        return PLACED, form, None
     if shaped and (not harmless or _PUBLISHED.match(value)) and (not before or not (before[-1].isalnum() or before[-1] in "/+")) and not (after[:1].isalnum() or after[:1] in ("/", "+")):
-        return FORMED, form
+        return FORMED, form, None
     if not harmless and not _ORDINARY.match(value):
-        return (HANDED if _HANDED.search(before) and not _COMPOUND.match(value) else BARE), form
+        if _HANDED.search(before) and not _COMPOUND.match(value):
+            return HANDED, form, None
+        return BARE, form, assigned(before) if form == "random" else None
     return None
 
 
@@ -220,12 +243,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o, repo, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if content:
                 owner = repo or f"#{o}"
-                rows += [(o, owner, no, value, xxhash.xxh3_64_intdigest(value) - (1 << 63), place, form) for _, no, value, place, form in candidates(content)]
-        cols = list(zip(*rows)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()))],
-            names=["ord", "owner", "line_no", "value", "hash", "place", "form"],
-        )
+                rows += [
+                    (o, owner, no, value, xxhash.xxh3_64_intdigest(value) - (1 << 63), place, form, name, alphabet(value) if name else None)
+                    for _, no, value, place, form, name in candidates(content)
+                ]
+        cols = list(zip(*rows)) if rows else [[]] * 9
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), *[pa.string()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ord", "owner", "line_no", "value", "hash", "place", "form", "name", "alphabet"])
 
 
 def _files(file_nodes: DataFrame) -> DataFrame:
@@ -234,15 +258,25 @@ def _files(file_nodes: DataFrame) -> DataFrame:
 
 
 def index(file_nodes: DataFrame) -> DataFrame:
-    return _files(file_nodes).mapInArrow(_index, "ord long, owner string, line_no int, value string, hash long, place string, form string")
+    return _files(file_nodes).mapInArrow(_index, "ord long, owner string, line_no int, value string, hash long, place string, form string, name string, alphabet string")
+
+
+def learned_names(literals: DataFrame) -> DataFrame:
+    """(name): of the names of bare random literals those that tell of credentials. Sums by (name, value) and (name, owner)
+    come before the counts by name, so that a name that a third of all files has is no single group."""
+    named = literals.filter("name is not null").groupBy("name", "hash", "owner").agg(F.first("alphabet").alias("alphabet"))
+    values = named.groupBy("name", "hash").agg(F.first("alphabet").alias("alphabet")).groupBy("name").agg(F.count("*").alias("n_values"), F.collect_set("alphabet").alias("alphabets"))
+    owners = named.groupBy("name", "owner").agg(F.count("*").alias("n")).groupBy("name").agg(F.count("*").alias("n_owners"))
+    told = values.join(owners, "name").filter((F.col("n_values") >= LEARNED_VALUES) & (F.size("alphabets") > 1) & (F.col("n_owners") >= LEARNED_OWNERS))
+    return told.select("name", F.lit(True).alias("learned"))
 
 
 def confirmed(literals: DataFrame) -> DataFrame:
     """(hash, value) of literals that are credentials; key blocks are none of them. The owners of a hot literal are
     counted from one row an owner."""
-    by_owner = literals.filter(F.col("place") != BLOCK).groupBy("hash", "value", "owner").agg(
-        F.max(F.col("form") == "random").alias("random"), F.max((F.col("place") == PLACED) | (F.col("place") == NAMED) | (F.col("place") == HANDED)).alias("told"), F.max(F.col("place") == FORMED).alias("formed")
-    )
+    literals = literals.filter(F.col("place") != BLOCK).join(small(cut(learned_names(literals))), "name", "left")
+    told = F.col("place").isin(PLACED, NAMED, HANDED) | F.coalesce("learned", F.lit(False))
+    by_owner = literals.groupBy("hash", "value", "owner").agg(F.max(F.col("form") == "random").alias("random"), F.max(told).alias("told"), F.max(F.col("place") == FORMED).alias("formed"))
     return (
         by_owner.groupBy("hash", "value").agg(F.count("*").alias("owners"), F.max("random").alias("random"), F.max("told").alias("told"), F.max("formed").alias("formed"))
         .filter(((F.col("owners") < SHARED_OWNERS) | ~F.col("random")) & (F.col("told") | F.col("formed"))).select("hash", "value", "owners")
@@ -381,7 +415,8 @@ def suspects(file_nodes: DataFrame) -> DataFrame:
     held = files.mapInArrow(_holders(shared), "ord long, hash long").distinct().join(sure, "hash").select("ord", "value")
     held = held.unionByName(literals.filter(F.col("place") == BLOCK).select("ord", F.lit(None).cast("string").alias("value")))
     by_file = cut(held.groupBy("ord").agg(F.collect_set("value").alias("values")))
-    return files.join(by_file, "ord").select("ord", "content", "values")
+    size = F.aggregate("values", F.lit(0).cast("long"), lambda n, v: n + F.octet_length(v)) + 16
+    return attached(files, by_file, ["ord"], size).select("ord", "content", "values")
 
 
 def spans(file_nodes: DataFrame) -> DataFrame:

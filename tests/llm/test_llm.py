@@ -102,6 +102,13 @@ def test_credentials_without_a_digit(line, place):
     assert [x[3] for x in credentials.candidates(line)] == [place] * (place is not None)
 
 
+def test_names_are_learnt(spark):
+    values = ["k9fV6NM0mQRbz1Rif0JdFq3xuuHoA", "wSCHKCc/rHQnbdRQiEcvtWRgkU3RvNS28ZIGnDGCKDU=", "054da61aaf89b92c9aeea19d3ac9c887", "e75faf64ee7af765f1f9192294d5465b"]
+    rows = [(i, f"o/r{i}", "a.py", f"ok = 1\ngate_zed = '{v}'") for i, v in enumerate(values)]
+    rows += [(10 + i, f"o/r{i}", "b.py", f"mark_of = '{v[::-1]}'") for i, v in enumerate(values[2:] * 2)] + [(20, "o/x", "c.py", f"other_zed = '{values[0][::-1]}'"), (21, "o/x", "d.py", f"lone = '{values[1][::-1]}'")]
+    assert {(r.ord, r.line_no) for r in credentials.found(files(spark, *rows)).collect()} == {(0, 2), (1, 2), (2, 2), (3, 2), (20, 1)}
+
+
 TOKEN = "k9fV6NM0mQRbz1Rif0JdFq3xuuHoA"
 
 
