@@ -43,13 +43,15 @@ SHARED_OWNERS = 4
 #: Bits of the re-scan's filter: so many a confirmed literal, and no more than that whatever the corpus (16 MB). A fuller
 #: filter passes more pieces to the join and loses none.
 FILTER_BITS, FILTER_MOST = 48, 1 << 27
+#: Signs that a literal has at least behind a telling name or in a place, and elsewhere.
+LEAST, LEAST_ELSEWHERE = 6, 8
 #: Bytes of a literal that the filter knows (no literal is shorter), and characters of text that it takes at once.
-HEAD, STRETCH = 8, 4_000_000
+HEAD, STRETCH = 6, 4_000_000
 NOT_FILES = r"(?i)(?:^https?://|\.(?:pdf|png|jpe?g|tiff?)$)"
 
 #: A run of signs that may be a credential. Without a digit none is random, so none is a placeholder by its owners and bare
 #: ones need no place in the index; behind a name or in a place they are judged like all others.
-_RUN = re.compile(r"[A-Za-z0-9+/_=.!?*%#$^&~\-]{8,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=.!?*%#$^&~\-]{6,}")
 _TWO_KINDS = re.compile(r"(?:[A-Za-z]+|[^A-Z0-9]+|[^a-z0-9]+)$")
 _GROUPED = re.compile(r"(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9}$")
 #: Names behind which credentials stand (fixed values).
@@ -130,8 +132,8 @@ def random_like(v: str) -> bool:
 
 
 def password_like(v: str) -> bool:
-    """What people choose: at least eight signs of at least three kinds, or letters with digits or signs."""
-    if len(v) < 8 or re.fullmatch(r"[\w.\-]+\.(?:test|example|internal|com|org|net|local|json|ya?ml|txt|py|js|pem|key|env)(?:[:/].*)?", v):
+    """What people choose: signs of at least three kinds, or letters with digits or signs."""
+    if len(v) < LEAST or re.fullmatch(r"[\w.\-]+\.(?:test|example|internal|com|org|net|local|json|ya?ml|txt|py|js|pem|key|env)(?:[:/].*)?", v):
         return False
     kinds = bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^A-Za-z0-9]", v))
     return kinds >= 3 or (kinds == 2 and bool(re.search(r"\d", v)) and not re.fullmatch(r"[a-z]+[_-]?\d{1,2}|v?\d+(?:\.\d+)*|\d+[a-z]{1,3}", v)) and bool(re.search(r"[A-Za-z]", v))
@@ -162,7 +164,7 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str, str | No
             if _TWO_KINDS.match(value) and not _FORM.match(value):
                 continue  # a word, whatever its place
             found = judge(content, start, value)
-            if found and (numbered or found[0] != BARE):
+            if found and (numbered or found[0] != BARE) and (len(value) >= LEAST_ELSEWHERE or found[0] in (NAMED, PLACED)):
                 yield start, content.count("\n", 0, start) + 1, value, *found
 
 
@@ -192,14 +194,14 @@ def _values(content: str, start: int, run: str) -> Iterator[tuple[int, str]]:
     belongs to the sentence, and without a flag."""
     end = content.find("\n", start)
     at = run.find("=")
-    while 0 <= at < len(run) - 8 and re.match(r"[\w.\-]+$", run[:at]) and not re.match(r"=*$", run[at:]):
+    while 0 <= at < len(run) - LEAST and re.match(r"[\w.\-]+$", run[:at]) and not re.match(r"=*$", run[at:]):
         start, run = start + at + 1, run[at + 1 :]
         at = run.find("=")
     if run.startswith("-p") and content[start - 1 : start] in (" ", "\t"):
         start, run = start + 2, run[2:]
     while run and run[-1] in ".?!" and (content[start + len(run) : start + len(run) + 1] in (" ", "\n", "\r", "") and run[-1] == "."):
         run = run[:-1]
-    if len(run) >= 8 and end != start:
+    if len(run) >= LEAST and end != start:
         yield start, run
 
 
@@ -332,7 +334,7 @@ def pieces(text: bytes, words: np.ndarray, lengths: np.ndarray, log: int) -> Ite
     begin = edge[:n].copy()
     begin[2:] |= ((signs[:-2] == ord("-")) & (signs[1:-1] == ord("p")))[: n - 2]
     starts = np.flatnonzero(begin)
-    heads = np.ndarray((n,), dtype="<u8", buffer=text, strides=(1,))[starts]
+    heads = np.ndarray((n,), dtype="<u8", buffer=text + b"\0" * (8 - HEAD), strides=(1,))[starts] & np.uint64((1 << 8 * HEAD) - 1)
     ok = _passes(words, log, heads)
     for a, head in zip(starts[ok].tolist(), heads[ok]):
         ends = a + lengths
