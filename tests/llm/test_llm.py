@@ -165,9 +165,38 @@ def test_personal(spark):
 
 
 def test_estimates_follow_labelers():
-    counts = {0b11: 200, 0b00: 5_000, 0b01: 40, 0b10: 40}
-    p = personal.estimate(counts, 2, (2.0, 2.0), -3.0)
-    assert p[0b11] > 0.9 > 0.1 > p[0b00] and personal.estimate({}, 2, (1.0, 1.0), 0.0) == {}
+    """Held-out truth: EM from even votes finds which of the labelers are to be trusted."""
+    rng = random.Random(4)
+    rates = [(0.9, 0.02), (0.7, 0.01), (0.6, 0.5), (0.02, 0.6)]  # how often each speaks on true and on other spans
+    counts, truth = {}, {}
+    for _ in range(20_000):
+        y = rng.random() < 0.2
+        p = sum(1 << i for i, (t, f) in enumerate(rates) if rng.random() < (t if y else f))
+        counts[p] = counts.get(p, 0) + 1
+        truth[p] = truth.get(p, 0) + y
+    meaning = personal.estimate(counts, (1, 1, 1, -1))
+    right = sum(truth[p] if meaning[p] > 0.5 else counts[p] - truth[p] for p in counts)
+    assert right / 20_000 > 0.97 and personal.estimate({}, (1, 1)) == {}
+
+
+def test_classifier_sees_more_than_the_votes():
+    # the labelers say 0.5 of both; the spans' shapes differ as those of sure spans do
+    shapes, belief = [[1, 10], [2, 10], [1, 11], [2, 11]] * 50, [1.0, 0.0, 0.5, 0.5] * 50
+    w, bias = personal.fit(personal.np.array(shapes), personal.np.array(belief))
+    p = lambda *x: bias + sum(w[i] for i in x)
+    assert p(1, 11) > 0.5 > -0.5 > p(2, 11) and p(1, 10) > 2
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("mail " + "a" * 300 + "@" + "b" * 200 + ".example now", "a" * 300 + "@" + "b" * 200 + ".example"), ("jane [AT] example [DOT] com", "jane [AT] example [DOT] com"),
+        ("x" * 90 + " at post dot c dot example", "x" * 90 + " at post dot c dot example"), ("see Łukasz Šimić there", "Łukasz Šimić"), ("см. Анна Петрова", "Анна Петрова"),
+        ("in 12 " + "N" + "o" * 150 + " " + "W" + "e" * 150 + " Street now", "12 N" + "o" * 150 + " W" + "e" * 150 + " Street"),
+    ],
+)
+def test_long_and_foreign_spans_are_whole(text, span):
+    assert span in [text[x[1] : x[2]] for x in personal.propose(text)]
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------------------
@@ -356,6 +385,49 @@ def test_leakage_with_substitutions_and_blocks(spark, monkeypatch):
     assert [(r.item_id, r.doc_id, r.words, r.equal) for r in got] == [(1, 1, 16, 15)]
 
 
+def longest_overlap(equal):
+    """Brute force over all stretches."""
+    best = 0
+    for i in range(len(equal)):
+        for j in range(i + 1, len(equal) + 1):
+            if equal[i] and equal[j - 1] and sum(equal[i:j]) >= leakage.MIN_EQUAL * max(j - i, leakage.MIN_WORDS) - 1e-9 and len(equal) >= leakage.MIN_WORDS:
+                best = max(best, j - i)
+    return best
+
+
+def test_verified_stretches_against_brute_force():
+    rng = random.Random(80)
+    for _ in range(400):
+        equal = [rng.random() < rng.choice((0.5, 0.8, 0.95)) for _ in range(rng.randrange(0, 45))]
+        n, same, run = leakage.verify(leakage.np.array(equal, dtype=bool))
+        assert n == longest_overlap(equal), equal
+        assert not n or same >= leakage.MIN_EQUAL * n - 1e-9
+
+
+@pytest.mark.parametrize("n, changed", [(12, 1), (12, 2), (13, 2), (15, 3), (17, 3), (20, 4), (25, 5), (30, 6), (40, 8), (50, 10)])
+def test_recall_of_tolerant_overlaps(n, changed):
+    """Planted overlaps with substitutions at random places, anywhere in an item and in a document."""
+    rng = random.Random(n * 100 + changed)
+    trials, hits = 150, 0
+    for t in range(trials):
+        passage = [f"p{t}x{i}" for i in range(n)]
+        other = list(passage)
+        for i in rng.sample(range(n), changed):
+            other[i] = f"q{t}x{i}"
+        before, after = ([f"{w}{t}x{i}" for i in range(rng.randrange(15))] for w in "bz")
+        index = leakage.Index([(1, " ".join([f"i{j}" for j in range(7)] + passage + [f"k{j}" for j in range(7)]))])
+        hits += 1 in index.overlaps(leakage.Vocabulary().ids(" ".join(before + other + after)))
+    assert hits / trials >= (1.0 if n <= 13 else 0.95)
+
+
+def test_repetitive_texts_cost_no_more():
+    index = leakage.Index([(1, "la " * 20_000), (2, "one two " * 5_000), (3, "la di da " * 4 + "end of the song that all the people sing at night")])
+    began = time.time()
+    assert set(index.overlaps(leakage.Vocabulary().ids("la " * 300_000))) == {1} and set(index.overlaps(leakage.Vocabulary().ids("two one " * 100_000))) == {2}
+    assert 3 in index.overlaps(leakage.Vocabulary().ids("la di da " * 900 + "nothing"))
+    assert time.time() - began < 10
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
