@@ -93,13 +93,52 @@ def compress(text: Column, level: str, language: str | None = None) -> Column:
     return prune_stop_words(text) if level == "aggressive" else text
 
 
-_FENCE = re.compile(r"(?m)^(```|~~~)([\w+-]*)[^\n]*\n([\s\S]*?)^\1[ \t]*$")
+_FENCE = re.compile(r"(?m)^ {0,3}(`{3,}|~{3,})([^\n`]*)\n([\s\S]*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)")
 
 
 def split_fences(text: str) -> list[tuple[str | None, str]]:
-    """(language, text) of each stretch of Markdown; None for prose."""
+    """(language, text) of each stretch of Markdown; None for prose. A fence that is not closed goes to the end."""
     out, at = [], 0
     for m in _FENCE.finditer(text):
-        out += [(None, text[at : m.start(3)]), (m[2] or "", m[3])]
+        out += [(None, text[at : m.start(3)]), (m[2].strip(), m[3])]
         at = m.end(3)
     return [*out, (None, text[at:])]
+
+
+def compressed_code(text: str, level: str, language: str, stop: frozenset[str]) -> str:
+    """What `compress` makes of one text of a known language."""
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^[ \t]+|[ \t]+$", "", text))
+    if level == "safe":
+        return text
+    if language in BRACE_LANGUAGES:
+        text = brace_comments(text)
+    elif language in HASH_LANGUAGES:
+        text = re.sub(r"(?m)^[^\S\n]*#.*$", "", text).rstrip()
+    text = minified_json(text)
+    if text.lstrip(" ").startswith("<"):
+        text = re.sub(r">\s+<", "><", re.sub(r"(?s)<!--.*?-->", "", text))
+    if level == "aggressive":
+        kept = [w for w in text.split() if re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) not in stop]
+        text = " ".join(kept) if kept else text
+    return text
+
+
+def compress_markdown(text: Column, level: str) -> Column:
+    """`compress` for Markdown: text in fences by the fence's language, then all of it once more as prose. Markdown is not
+    written anew, so its marks stay as they were. Text without a fence takes no Python."""
+    stop = frozenset(stop_words())
+
+    @F.pandas_udf(StringType())
+    def fenced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: "".join(x if lang is None else _ended(compressed_code(x, level, lang, stop), x) for lang, x in split_fences(t)), na_action="ignore")
+
+    if level == "safe":  # folding again changes nothing
+        return compress(text, level)
+    has = text.rlike(r"(?m)^ {0,3}(?:```|~~~)")
+    return compress(F.when(has, fenced(F.when(has, text))).otherwise(text), level)
+
+
+def _ended(code: str, before: str) -> str:
+    """The fence's end stays on a line of its own."""
+    return code + "\n" if before.endswith("\n") and not code.endswith("\n") else code

@@ -137,3 +137,20 @@ def page_to_markdown(html: Column, full: bool = False) -> Column:
     """The main content of a page as Markdown, links flattened."""
     body = strip_tags(html, full)
     return to_markdown(flatten_links(repair_lists(body if full else main_content(body))))
+
+
+def page_text(page: str, full: bool = False) -> str:
+    """One page as Markdown, as `page_to_markdown`; a login page or a shell of scripts is an error."""
+    low = page.lower()
+    if "accounts.google.com" in low or ("sign in" in low and ("google" in low or "gemini" in low)):
+        raise ValueError("the page asks for a login")
+    if "<script" in page and len(re.sub(r"<[^>]*(?:>|$)", " ", page).split()) < 10:
+        raise ValueError("the page is a shell of scripts")
+    for tag in STRIPPED_FULL if full else STRIPPED:
+        page = re.sub(f"<{tag}.*?</{tag}>", "", page, flags=re.S)
+    if not full:
+        inside = next((m for t in ("main", "article") if (m := re.search(f"<{t}[^>]*>(.*?)</{t}>", page, re.S))), None)
+        page = inside[1] if inside else page
+    for tag in ("ol", "ul"):
+        page = page.replace(f"</li>\n<{tag}", f"<{tag}").replace(f"</li><{tag}", f"<{tag}")
+    return to_markdown_text(re.sub("<a [^>]*>", "", page).replace("</a>", ""))

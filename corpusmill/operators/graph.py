@@ -5,9 +5,15 @@ Null ends of edges reach nothing; repeated edges and cycles are visited once; an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from urllib.parse import urldefrag, urljoin, urlsplit
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import html, paths
+from corpusmill.operators.corpus import TREE, in_order
 from corpusmill.session import cut
 
 
@@ -15,16 +21,28 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     """(node, depth) of every node, with the least number of steps from a seed. One round a step: the frontier is joined
     to the edges and nodes seen before fall out; only the frontier's emptiness is asked for."""
     edges = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    seen = frontier = cut(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
-    step = 0
+    frontier = cut(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
+    rounds, step = [frontier], 0
     while depth is None or step < depth:
         step += 1
+        seen = rounds[0]
+        for f in rounds[1:]:  # frontiers are written once each; what was seen is their union
+            seen = seen.unionByName(f)
         found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)))
+        frontier = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        rounds.append(frontier)
+        if len(rounds) > MOST_ROUNDS:  # many small tables become one
+            rounds = [cut(seen.unionByName(frontier))]
+    out = rounds[0]
+    for f in rounds[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+#: Frontiers that are kept as tables of their own.
+MOST_ROUNDS = 16
 
 
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -34,3 +52,55 @@ def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     fits = pages.join(rules, (pages["host"] == rules["_host"]) & pages["path"].startswith(rules["prefix"]), "left")
     w = Window.partitionBy("page_id").orderBy(F.desc_nulls_last(F.length("prefix")), F.desc("allow"))
     return fits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("page_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
+
+
+# --- crawling stored pages ------------------------------------------------------------------------------------------------
+
+
+def absolute(rows: DataFrame, base: str, href: str, name: str) -> DataFrame:
+    """`rows` with `name`: `href` joined to the URL `base`, without its fragment; null if it is no URL."""
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema]
+
+    def one(b: str | None, h: str | None) -> str | None:
+        try:
+            return urldefrag(urljoin(b, h.strip()))[0] or None if b and h is not None else None
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [one(b, h) for b, h in zip(batch.column(base).to_pylist(), batch.column(href).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.string())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, (name, "string")]))
+
+
+def admissible(src: Column, dst: Column) -> Column:
+    """A link that a crawl follows: http(s), to the host it comes from."""
+    return dst.rlike(r"^https?://") & (paths.url_host(src) == paths.url_host(dst))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst), distinct: the links of (url, html) that a crawl follows."""
+    found = pages.select(F.col("url").alias("src"), F.explode(html.links(F.col("html"))).alias("href"))
+    return absolute(found, "src", "href", "dst").filter(admissible(F.col("src"), F.col("dst"))).select("src", "dst").distinct()
+
+
+def crawl(pages: DataFrame, seed: str, rules: DataFrame | None = None, depth: int | None = None, full: bool = False) -> DataFrame:
+    """(ord, path, content) of the stored pages (url, html, optional content_type) that a crawl from `seed` reaches, nearest first,
+    then by URL, with the tree's row before them. Links lead on from pages that are stored, of type HTML or plain text, and
+    that `rules` (host, prefix, allow) do not forbid; pages of which nothing is left give no row."""
+    usable = pages.filter("url is not null and html is not null").dropDuplicates(["url"])
+    if "content_type" in pages.columns:
+        usable = usable.filter(F.coalesce("content_type", F.lit("text/html")).rlike("^text/(?:html|plain)"))
+    if rules is not None:
+        path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+        asked = usable.select(F.col("url").alias("page_id"), paths.url_host(F.col("url")).alias("host"), path.alias("path"))
+        usable = usable.join(allowed(asked, rules).filter("allowed").select(F.col("page_id").alias("url")), "url", "left_semi")
+    seeds = pages.sparkSession.createDataFrame([(seed,)], "node string")
+    reached = reachable(page_links(usable), seeds, depth)
+    found = usable.join(reached.withColumnRenamed("node", "url"), "url").select("depth", F.col("url").alias("path"), html.page_to_markdown(F.col("html"), full).alias("content"))
+    found = in_order(cut(found.filter("content <> ''")), ["depth", "path"], "ord", 1).select("ord", "path", "content")
+    host = urlsplit(seed).hostname or "unknown"
+    tree = pages.sparkSession.createDataFrame([(0, TREE, f"```tree\n🌐 {host}\n```\n\n")], "ord long, path string, content string")
+    return tree.unionByName(found)

@@ -5,6 +5,8 @@ Null and blank fields are left out of records but their rows keep their numbers;
 
 from __future__ import annotations
 
+import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,3 +77,44 @@ def stream_chunks(raw: DataFrame) -> DataFrame:
     lines = raw.select("ord", F.split("body", "\n").alias("l"))
     pairs = lines.select("ord", F.posexplode(F.arrays_zip(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", F.lit(2), F.size("l")))).alias("at", "p"))
     return pairs.filter(F.col("p.0").rlike(r"^\d+$") & F.col("p.1").startswith("[") & F.expr("try_parse_json(p.`1`)").isNotNull()).select("ord", F.col("p.1").alias("chunk"))
+
+
+def csv_text(text: str, name: str) -> str:
+    """A CSV file as a sequence of records under its name. Blank fields are left out, blank lines are no rows; a row of
+    another width than the first is an error."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    if any(len(r) != len(rows[0]) for r in rows):
+        raise ValueError("rows of different widths")
+    parts = ["; ".join(f"Col {letters(i)}: {v}" for i, v in enumerate(r) if v.strip()) for r in rows]
+    return f"## Dataset: {name}\n\n" + "".join(f"Row {n}: {p}\n" for n, p in enumerate(parts, 1))
+
+
+def dataset(lines: DataFrame, name: str) -> DataFrame:
+    """(row, line) with the header of the data set as row 0, from `records`."""
+    head = lines.sparkSession.createDataFrame([(0, f"## Dataset: {name}\n")], "row long, line string")
+    return head.unionByName(lines.select(F.col("row").cast("long").alias("row"), "line"))
+
+
+# --- headers of other sources -------------------------------------------------------------------------------------------
+
+
+def transcript(title: Column, channel: Column, seconds: Column, body: Column) -> Column:
+    """A transcript under its video's title, channel and length; what is missing is `Unknown ...`."""
+    or_else = lambda c, what: F.coalesce(c.cast("string"), F.lit(f"Unknown {what}"))
+    return F.concat(F.lit("# "), or_else(title, "Title"), F.lit("\n\n**Channel:** "), or_else(channel, "Author"), F.lit("\n**Duration:** "), or_else(seconds, "Duration"), F.lit("s\n\n"), body)
+
+
+def playable(status: Column) -> Column:
+    """Whether a video's saved status lets it be read; none counts as OK."""
+    return F.coalesce(status, F.lit("OK")) == "OK"
+
+
+def shared_conversation(url: Column, body: Column) -> Column:
+    """A shared conversation under its link."""
+    return F.concat(F.lit("# Gemini Conversation Share\nSource URL: "), url, F.lit("\n\n"), body)
+
+
+def page_value(page: Column, key: str) -> Column:
+    """The value of `"key","value"` in a page's global data; null if there is none."""
+    found = F.regexp_extract(page, f'"{key}","([^"]*)"', 1)
+    return F.when(page.contains(f'"{key}","') & page.rlike(f'"{key}","[^"]*"'), found)

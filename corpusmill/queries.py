@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import compress, html, paths, redact, tokens
 from corpusmill.operators import corpus as corpus_ops
 from corpusmill.operators import graph, nested, tables, threads
-from corpusmill.plans import pipeline
-from corpusmill.session import table
+from corpusmill.plans import pipeline, sinks
+from corpusmill.session import shared_folder, table
 from corpusmill.sources import code, registry
+from corpusmill.sources import files as file_source
 from corpusmill.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,12 +359,31 @@ _BUDGET = """WITH RECURSIVE c AS (SELECT * FROM {corpus}), s AS (SELECT ord, pat
  f AS (SELECT 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS ord, NULL::VARCHAR AS mode UNION ALL
   SELECT t.n, CASE WHEN f.used + t.cost <= {budget} THEN f.used + t.cost WHEN t.rank = 3 AND f.used + t.fcost <= {budget} THEN f.used + t.fcost ELSE f.used END, t.ord,
   CASE WHEN f.used + t.cost <= {budget} THEN 'full' WHEN t.rank = 3 AND f.used + t.fcost <= {budget} THEN 'folded' END FROM f JOIN t ON t.n = f.n + 1)
- SELECT f.ord, c.path, f.mode FROM f JOIN c ON c.ord = f.ord WHERE f.mode IS NOT NULL"""
+ SELECT f.ord, c.path, f.mode, CASE WHEN (SELECT max(total) FROM t) <= {budget} THEN f.ord ELSE row_number() OVER (ORDER BY c.path, f.ord) - 1 END AS at FROM f JOIN c ON c.ord = f.ord WHERE f.mode IS NOT NULL"""
+#: What a row that does not fit is tried with: folded, then JSON and HTML minified.
+_FALLBACK = f"""(SELECT CASE WHEN starts_with(ltrim(m), '<') THEN regexp_replace(regexp_replace(m, '(?s)<!--.*?-->', '', 'g'), '>\\s+<', '><', 'g') ELSE m END
+ FROM (SELECT CASE WHEN regexp_matches(x, '^\\s*[\\[{{]') AND json_valid(x) THEN json(x)::VARCHAR ELSE x END AS m FROM (SELECT {_FOLD} AS x)))"""
+_BUDGET_SQL = _BUDGET.format(corpus=CORPUS, rank=_RANK, tokens=_TOKENS, folded=f"CAST(ceil(strlen({_FALLBACK}) / ({_RATIO})) AS BIGINT)", budget=300_000)
 
 
-@query("budget_prune", _BUDGET.format(corpus=CORPUS, rank=_RANK, tokens=_TOKENS, folded=f"CAST(ceil(strlen({_FOLD}) / ({_RATIO})) AS BIGINT)", budget=300_000))
+@query("budget_prune", _BUDGET_SQL)
 def budget_prune(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_ops.within_budget(files(spark, d), 300_000).select("ord", "path", "mode")
+    return corpus_ops.within_budget(files(spark, d), 300_000).select("ord", "path", "mode", "at")
+
+
+@query("budget_all", f"SELECT ord, path, 'full' AS mode, ord AS at FROM {CORPUS}")
+def budget_all(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_ops.within_budget(files(spark, d), 1 << 60).select("ord", "path", "mode", "at")
+
+
+@query(
+    "pruning_stats",
+    f"""WITH k AS ({_BUDGET_SQL}), c AS (SELECT * FROM {CORPUS}), t AS (SELECT ord, {_TOKENS} AS full_cost, CAST(ceil(strlen({_FALLBACK}) / ({_RATIO})) AS BIGINT) AS folded_cost FROM c)
+    SELECT (SELECT CAST(sum(full_cost) AS BIGINT) FROM t) AS initial_tokens, (SELECT CAST(sum(CASE mode WHEN 'full' THEN full_cost ELSE folded_cost END) AS BIGINT) FROM k JOIN t USING (ord)) AS kept_tokens, (SELECT count(*) FROM k) AS kept_rows""",
+)
+def pruning_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d)
+    return corpus_ops.pruning(rows, corpus_ops.within_budget(rows, 300_000))
 
 
 def _bm25_sql(terms: list[str]) -> str:
@@ -400,6 +421,55 @@ def relevance_annotate(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ops.combined_blocks(rows, scores)
 
 
+# --- Markdown and directories -------------------------------------------------------------------------------------------------
+
+_FENCED = """(SELECT doc_id, replace(replace(text, '`', ''), '~~~', '') || chr(10) || '```python' || chr(10) || 'x = ' || doc_id || chr(10) || '  # gone' || chr(10) || 'y = 2' || chr(10) || '```' || chr(10) || '# stays' || chr(10) || chr(10) || chr(10) || chr(10) || '```' || chr(10) || '# stays too' || chr(10) || '```' AS text FROM documents)"""
+
+
+@query(
+    "compress_markdown",
+    f"""WITH p AS (SELECT doc_id, string_split(text, '```') AS s FROM {_FENCED}), j AS (SELECT doc_id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i % 2 = 0 AND starts_with(x, 'python' || chr(10))
+     THEN regexp_replace(x, '(?m)^[ \\t]*#.*$', '', 'g') ELSE x END), '```') AS content FROM p) SELECT doc_id, {_FALLBACK} AS text FROM j""",
+)
+def compress_markdown(spark: SparkSession, d: str) -> DataFrame:
+    text = F.replace(F.replace(F.col("text"), F.lit("`"), F.lit("")), F.lit("~~~"), F.lit(""))
+    text = F.concat(text, F.lit("\n```python\nx = "), F.col("doc_id").cast("string"), F.lit("\n  # gone\ny = 2\n```\n# stays\n\n\n\n```\n# stays too\n```"))
+    return table(spark, d, "documents").select("doc_id", compress.compress_markdown(text, "contextual").alias("text"))
+
+
+@query(
+    "directory_counts",
+    """WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM file_nodes WHERE path <> '' AND NOT regexp_matches(path, '^https?://')), e AS (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM p),
+    g AS (SELECT array_to_string(s[1:i - 1], '/') AS dir, s[i] AS name, bool_and(i = len(s)) AS file FROM e GROUP BY 1, 2) SELECT dir, count(*) FILTER (WHERE file) AS files, count(*) AS entries FROM g GROUP BY 1""",
+)
+def directory_counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_ops.directory_counts(table(spark, d, "file_nodes").filter(~F.col("path").rlike("^https?://")).select("path"))
+
+
+_SCANNED = """SELECT CASE n_nationkey % 5 WHEN 0 THEN 'pkg' || n_nationkey || '/__init__.py' WHEN 1 THEN '_config' || n_nationkey || '.yml' WHEN 2 THEN '.hidden' || n_nationkey || '/x.txt' WHEN 3 THEN 'a/b/c/d' || n_nationkey || '.log'
+ ELSE 'keys/k' || n_nationkey || '.pem' END AS path, n_name || chr(10) AS text FROM nation"""
+
+
+@query("directory_scan", f"SELECT row_number() OVER (ORDER BY path) - 1 AS ord, path, text FROM ({_SCANNED}) WHERE NOT ends_with(path, '.pem')")
+def directory_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A small directory is written into the shared folder, with names that file sources pass over, and scanned."""
+    root = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    for r in table(spark, d, "nation").collect():  # a fixed table of 25 rows
+        k = r.n_nationkey
+        name = [f"pkg{k}/__init__.py", f"_config{k}.yml", f".hidden{k}/x.txt", f"a/b/c/d{k}.log", f"keys/k{k}.pem"][k % 5]
+        fs, base, _ = file_source._located(root)
+        fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(f"{r.n_name}\n".encode())
+    return registry.Registry(full=True).parse(file_source.directory(spark, root, hidden=True)).select("ord", "path", "text")
+
+
+@query("routed_texts")
+def routed_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).filter(~F.col("path").rlike("^https?://"))
+    return registry.Registry().parse(rows.select("ord", "path", F.encode("content", "utf-8").alias("content")))
+
+
 # --- web --------------------------------------------------------------------------------------------------------------------
 
 _HTML = """(SELECT doc_id, '<html><head><script>var a = 1;</script><style>p{}</style></head><body><nav><a href="/x">Menu</a></nav><header>Top</header>' ||
@@ -483,6 +553,29 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([(1,)], "node long"))
 
 
+_PAGES = """(SELECT p_partkey AS id, 'https://h.test/p/' || p_partkey AS url, NOT (starts_with('/p/' || p_partkey, '/p/7') AND NOT starts_with('/p/' || p_partkey, '/p/77')) AS allowed FROM part)"""
+
+
+@query(
+    "crawl_pages",
+    f"""WITH RECURSIVE p AS {_PAGES}, e AS (SELECT id AS src, 2 * id AS dst FROM p WHERE allowed UNION ALL SELECT id, 2 * id + 1 FROM p WHERE allowed UNION ALL SELECT id, id // 4 FROM p WHERE allowed),
+    r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 20),
+    m AS (SELECT p.url, min(r.depth) AS depth, p.id FROM r JOIN p ON p.id = r.node WHERE p.allowed GROUP BY 1, 3)
+    SELECT 0 AS ord, '_tree.md' AS path, '```tree' || chr(10) || '🌐 h.test' || chr(10) || '```' || chr(10) || chr(10) AS content
+    UNION ALL SELECT row_number() OVER (ORDER BY depth, url), url, '# Page ' || id || chr(10) || chr(10) || 'Next page and one more.' FROM m""",
+)
+def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    page = F.concat(
+        F.lit("<html><nav>Menu</nav><article><h1>Page "), text(i), F.lit('</h1><p><a href="/p/'), text(i * 2), F.lit('">Next</a> <a class="x" href="./'), text(i * 2 + 1), F.lit('#part">page</a> and one <a href="https://h.test/p/'),
+        text(F.floor(i / 4).cast("bigint")), F.lit('">more</a>.<a href="https://other.test/p/1"></a><a href="mailto:x@h.test"></a></p></article></html>'),
+    )
+    pages = table(spark, d, "part").select(F.concat(F.lit("https://h.test/p/"), text(i)).alias("url"), page.alias("html"))
+    rules = spark.createDataFrame([("h.test", "/p/7", False), ("h.test", "/p/77", True)], "host string, prefix string, allow boolean")
+    return graph.crawl(pages, "https://h.test/p/1", rules)
+
+
 @query(
     "robots_match",
     """WITH f AS (SELECT ord AS page_id, repo AS host, regexp_extract(path, '^https?://[^/]*(/.*)?$', 1) AS path FROM file_nodes WHERE path LIKE 'http%' AND repo IS NOT NULL),
@@ -546,7 +639,84 @@ def json_sink(spark: SparkSession, d: str) -> DataFrame:
     SELECT (SELECT count(*) FROM c) AS files, (SELECT CAST(sum({_TOKENS}) AS BIGINT) FROM c) AS tokens, lines || CASE WHEN kinds > 5 THEN chr(10) || '- *...and ' || (kinds - 5) || ' other types*' ELSE '' END AS extensions FROM l, k""",
 )
 def summary_preamble(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_ops.summary(files(spark, d)).drop("intro")
+    return corpus_ops.summary(files(spark, d)).drop("intro")  # the introduction is held against SQL in summary_text
+
+
+_SUMMARY = f"""WITH c AS (SELECT * FROM {CORPUS}), e AS (SELECT {_SUM_EXT} AS ext, count(*) AS files FROM c GROUP BY 1), b AS (SELECT * FROM e ORDER BY files DESC, ext LIMIT 5),
+    l AS (SELECT string_agg('- **' || ext || '**: ' || files || ' files' || chr(10), '' ORDER BY files DESC, ext) AS lines FROM b), k AS (SELECT count(*) AS kinds FROM e),
+    r AS (SELECT ord, list_transform(string_split(content, chr(10)), lambda x: trim(replace(x, chr(13), ''))) AS l FROM c WHERE ends_with(lower(path), 'readme.md')),
+    i AS (SELECT ord, array_to_string(list_filter(l[coalesce(list_position(list_transform(l, lambda x: NOT (x = '' OR starts_with(x, '#'))), true), len(l) + 1):], lambda x: x <> '')[1:3], ' ') AS intro FROM r),
+    o AS (SELECT min_by(intro, ord) AS intro FROM i WHERE intro <> '')
+    SELECT '## Project Summary' || chr(10) || chr(10) || CASE WHEN intro IS NOT NULL THEN '> **Overview:** ' || intro || chr(10) || chr(10) ELSE '' END || '**Composition:**' || chr(10) || lines
+     || CASE WHEN kinds > 5 THEN '- *...and ' || (kinds - 5) || ' other types*' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || chr(10) AS text FROM l, k, o"""
+
+
+@query("summary_text", _SUMMARY)
+def summary_text(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(sinks.summary_text(files(spark, d)),)], "text string")
+
+
+_BLOCKS = f"SELECT 3 AS place, ord, '// --- FILE_START: ' || path || ' ---' || chr(10) || content || chr(10) || chr(10) AS block FROM {CORPUS}"
+_MANIFEST = f"""SELECT 1 AS place, -(1::BIGINT << 62) AS ord, '| # | File | Tokens |' || chr(10) || '|---|------|--------|' || chr(10) AS block UNION ALL SELECT 1, 1::BIGINT << 62, chr(10)
+    UNION ALL SELECT 1, row_number() OVER (ORDER BY ord), '| ' || row_number() OVER (ORDER BY ord) || ' | ' || path || ' | ' || {_TOKENS} || ' |' || chr(10) FROM {CORPUS}"""
+_ALL_BLOCKS = f"SELECT * FROM ({_MANIFEST}) UNION ALL SELECT 2, 0, text FROM ({_SUMMARY}) UNION ALL SELECT * FROM ({_BLOCKS})"
+
+
+@query(
+    "combined_full",
+    f"""WITH b AS MATERIALIZED ({_ALL_BLOCKS}) SELECT place, ord, md5(block) AS block FROM b UNION ALL SELECT 9, 0, md5(chr(10) || '```' || chr(10))
+    UNION ALL SELECT 0, 0, md5('---' || chr(10) || 'file: all' || chr(10) || 'tokens: ' || CAST(sum(strlen(block)) // 4 AS BIGINT) || chr(10) || 'mode: full' || chr(10) || '---' || chr(10) || '```' || chr(10)) FROM b""",
+)
+def combined_full(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.combined(files(spark, d), "all", "gpt", manifest=True, summary=True).withColumn("block", F.md5("block"))
+
+
+@query(
+    "combined_human",
+    f"""WITH b AS MATERIALIZED ({_BLOCKS}), e AS (SELECT max(ord) AS last FROM b) SELECT place, ord, md5(CASE WHEN ord = last THEN regexp_replace(block, '[\\s\\p{{Z}}]+$', '') || chr(10) ELSE block END) AS block FROM b, e""",
+)
+def combined_human(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.combined(files(spark, d), "all").withColumn("block", F.md5("block"))
+
+
+@query("split_files", f"""SELECT ord, '<file path="' || path || '">' || chr(10) || '<content>' || chr(10) || content || chr(10) || '</content>' || chr(10) || '</file>' || chr(10) AS body,
+    CASE WHEN ends_with(n, '.md') THEN n ELSE n || '.md' END AS name FROM (SELECT *, CASE WHEN u THEN replace(replace(CASE WHEN p = '' THEN 'index' WHEN ends_with(p, '/') THEN p || 'index' ELSE p END, '..', ''), ':', '_') ELSE replace(path, '..', '') END AS n
+    FROM (SELECT *, regexp_matches(path, '^https?://') AS u, regexp_extract(path, '^https?://[^/?#]*/?([^?#]*)', 1) AS p FROM {CORPUS}))""")
+def split_files(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.split_files(files(spark, d), "anthropic")
+
+
+@query(
+    "chunk_files",
+    f"""WITH RECURSIVE t AS MATERIALIZED (SELECT ord, {_TOKENS} AS tokens, '// --- FILE_START: ' || path || ' ---' || chr(10) || content || chr(10) || chr(10) AS block, row_number() OVER (ORDER BY ord) AS n FROM {CORPUS}),
+    f AS (SELECT 0::BIGINT AS n, 1 AS part, 0::BIGINT AS used, false AS filled, NULL::BIGINT AS ord, NULL::VARCHAR AS block UNION ALL
+     SELECT t.n, CASE WHEN f.filled AND f.used + t.tokens > 20000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.filled AND f.used + t.tokens > 20000 THEN t.tokens ELSE f.used + t.tokens END, true, t.ord, t.block FROM f JOIN t ON t.n = f.n + 1),
+    b AS (SELECT 'out.part' || part || '.md' AS name, 2 AS place, ord, block FROM f WHERE ord IS NOT NULL UNION ALL SELECT 'out.part1.md', 1, 0, text FROM ({_SUMMARY})),
+    x AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place DESC, ord DESC) = 1 AS last FROM b)
+    SELECT name, place, ord, md5(CASE WHEN last THEN regexp_replace(block, '[\\s\\p{{Z}}]+$', '') || chr(10) ELSE block END) AS block FROM x""",
+)
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.chunk_files(files(spark, d), "20k", "all", write="out.md", summary=True).withColumn("block", F.md5("block"))
+
+
+@query(
+    "tree_row",
+    """WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM file_nodes WHERE path <> '' AND NOT regexp_matches(path, '^https?://')), e AS (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM p),
+    g AS (SELECT s[1:i] AS parts, bool_or(i < len(s)) AS dir FROM e GROUP BY 1) SELECT -1 AS ord, '_tree.md' AS path, md5('```tree' || chr(10) || '.' || string_agg(chr(10) || repeat('  ', len(parts)) || '├── ' || parts[-1] || CASE WHEN dir THEN '/' ELSE '' END, '' ORDER BY parts) || chr(10) || '```' || chr(10) || chr(10)) AS content FROM g""",
+)
+def tree_row(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_ops.tree_row(table(spark, d, "file_nodes").filter(~F.col("path").rlike("^https?://")).select("path")).withColumn("content", F.md5("content"))
+
+
+@query(
+    "run_report",
+    f"""WITH c AS (SELECT * FROM {CORPUS}), a AS (SELECT path, {_FOLD} AS content FROM c), t AS (SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum({_TOKENS}) AS BIGINT) AS tokens,
+     greatest((SELECT CAST(sum({_TOKENS}) AS BIGINT) FROM c) - CAST(sum({_TOKENS}) AS BIGINT), 0) AS tokens_saved, 1 AS parts FROM a)
+    SELECT t.*, model, usd_per_million::DOUBLE AS usd_per_million, tokens / 1000000.0::DOUBLE * usd_per_million::DOUBLE AS usd FROM t, (VALUES ('GPT-4o', 5.0), ('GPT-4o-mini', 0.15), ('Claude 3.5 Sonnet', 3.0), ('Claude 3 Haiku', 0.25), ('Gemini 1.5 Pro', 3.5), ('Gemini 1.5 Flash', 0.075)) p(model, usd_per_million)""",
+)
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d)
+    return sinks.report(rows, rows.withColumn("content", compress.compress(F.col("content"), "safe")))
 
 
 @query("ext_top5", f"SELECT {_SUM_EXT} AS ext, count(*) AS files FROM {CORPUS} GROUP BY 1 ORDER BY files DESC, ext LIMIT 5")
@@ -626,7 +796,7 @@ def plugin_udf(spark: SparkSession, d: str) -> DataFrame:
     plugins = registry.Registry()
     plugins.register("csv", lambda data, ext: f"## PARSED: {len(data)}")
     rows = files(spark, d).filter(F.col("path").endswith(".csv"))
-    return plugins.parse(rows.select("ord", "path", F.encode("content", "utf-8").alias("content"))).select("ord", "text")
+    return plugins.parse(rows.select("ord", "path", F.encode("content", "utf-8").alias("content")), plugin="csv").select("ord", "text")
 
 
 @query("thread_render")
@@ -634,6 +804,26 @@ def thread_render(spark: SparkSession, d: str) -> DataFrame:
     return threads.rendered(table(spark, d, "timelines"))
 
 
+@query("thread_render_xml")
+def thread_render_xml(spark: SparkSession, d: str) -> DataFrame:
+    return threads.rendered(table(spark, d, "timelines"), "anthropic")
+
+
+@query(
+    "page_headers",
+    """SELECT event_id, '# ' || CASE WHEN event_id % 3 = 0 THEN 'Unknown Title' ELSE event_type END || chr(10) || chr(10) || '**Channel:** ' || user_id || chr(10) || '**Duration:** Unknown Durations' || chr(10) || chr(10) || 'said' AS transcript,
+    '# Gemini Conversation Share' || chr(10) || 'Source URL: https://g.test/' || event_id || chr(10) || chr(10) || '**User:**' AS conversation, nullif(regexp_extract(props, '"k": (\\d+)', 1), '') AS value, event_id % 4 <> 1 AS playable FROM events""",
+)
+def page_headers(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    page = F.concat(F.lit('<script>{"a","b","KEY","'), F.regexp_extract("props", r'"k": (\d+)', 1), F.lit('","c","d"}'))
+    status = F.when(i % 4 == 0, "OK").when(i % 4 == 1, "LOGIN_REQUIRED")
+    return table(spark, d, "events").select(
+        "event_id", tables.transcript(F.when(i % 3 != 0, F.col("event_type")), F.col("user_id"), F.lit(None), F.lit("said")).alias("transcript"),
+        tables.shared_conversation(F.concat(F.lit("https://g.test/"), i.cast("string")), F.lit("**User:**")).alias("conversation"), tables.page_value(page, "KEY").alias("value"), tables.playable(status).alias("playable"),
+    )
+
+
 @query("transcript_lines", "SELECT event_id, event_type || chr(10) || 'it''s said' AS text FROM events")
 def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     xml = F.concat(F.lit("<transcript><text start='0'>"), F.col("event_type"), F.lit("</text><text start='1'>it&amp;#39;s\nsaid</text></transcript>"))

@@ -50,17 +50,21 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return builder.config(map=defaults | conf).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the cluster's shared checkpoint folder, so that a lost executor costs
-    nothing that came before. Where the session names no folder, a temporary one is set for a local master; on a cluster
-    that would be another folder on each machine, so it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it. Where it names none, a temporary one is set for a local
+    master; on a cluster that would be another folder on each machine, so it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to the shared folder, so that a lost executor costs nothing that came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus as ops
 from corpusmill.operators import graph, tables
-from corpusmill.plans import pipeline
+from corpusmill.plans import pipeline, sinks
 
 SCHEMA = "ord long, path string, content string"
 
@@ -51,6 +51,90 @@ def test_budget_against_brute_force(spark):
         assert {r.ord: r.mode for r in ops.within_budget(df, budget).collect()} == spec_budget(items, budget)
 
 
+def test_budget_of_alike_rows_and_fallback(spark):
+    rng = random.Random(7)
+    # a third of all rows are alike, some hold blanks only, some no text
+    items = [(i, "a.rs", "x" * 32) for i in range(100)] + [(100 + i, f"b{i}.py", " " * 38 + "\n" + " " * rng.choice([0, 10])) for i in range(60)] + [(200 + i, "c.md", "y" * rng.randrange(5, 90)) for i in range(60)] + [(300 + i, "e.rs", "") for i in range(20)]
+    df = spark.createDataFrame(items, SCHEMA)
+    for budget in (0, 5, 205, 700, 1_100, 2_000):
+        got = ops.within_budget(df, budget).collect()
+        assert {r.ord: r.mode for r in got} == spec_budget(items, budget), budget
+        assert [r.ord for r in sorted(got, key=lambda r: r["at"])] == [o for o, p, c in sorted(items, key=lambda x: (x[1], x[0])) if o in {r.ord for r in got}]
+    page = spark.createDataFrame([(1, "p.rs", "<p>\n\n <b>   </b>\n</p><!-- " + "long " * 50 + "-->"), (2, "q.rs", '{"a":  [1,   2 ]}' + " " * 100)], SCHEMA)
+    assert {r.ord: r.content for r in ops.within_budget(page, 12).collect()} == {1: "<p><b></b></p>", 2: '{"a":[1,2]}'}
+    stats = ops.pruning(page, ops.within_budget(page, 12)).first()
+    assert (stats.kept_tokens, stats.kept_rows) == (9, 2) and stats.initial_tokens > 100
+
+
+def test_search_moves_no_content_before_the_top(spark):
+    df = spark.createDataFrame([(i, f"f{i}.md", "word " * i + ("needle " if i % 3 == 0 else "")) for i in range(40)], SCHEMA)
+    got = ops.search(df, "needle", 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "").replace("ReusedExchange", "") and [r.path for r in got.collect()] == ["f0.md", "f3.md"]
+
+
+def test_order_by_any_keys(spark):
+    df = spark.createDataFrame([(f"{i * 7919 % 1000:04}", i) for i in range(1000)], "k string, v int").repartition(7)
+    assert [r.k for r in ops.in_order(df, "k", "n").orderBy("n").collect()] == sorted(f"{i:04}" for i in range(1000))
+    assert sorted(r.n for r in ops.in_order(df, ["v", "k"], "n", 1).collect()) == list(range(1, 1001)) and ops.in_order(df.limit(0), "k", "n").count() == 0
+
+
+def test_refinement_on_entropy(spark):
+    text = "a" * 100 + "Jane Doe0123456789XYZ" + "b" * 200 + "Jane Doe"
+    assert ops.refined_text(text, 16, 3.5, 4) == "a" * 100 + "[REDACTED]0123456789XYZ" + "b" * 200 + "Jane Doe"
+    assert ops.refined_text(text) == text and ops.refined_text("Jane Doe", force=True) == "Jane Doe" and ops.refined_text("x" * 16 + "Jane Doe", force=True) == "x" * 16 + "[REDACTED]"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "short")], "k long, t string")
+    spans = ops.merged_spans(ops.entropy_table(df, "k", "t", 16, 3.5), "k", 4).collect()
+    assert len(spans) == 1 and spans[0].k == 1 and text[spans[0].start : spans[0].stop].find("0123456789") >= 0
+    assert df.select(ops.refined(F.col("t"), 16, 3.5, 4).alias("r")).filter("r like '%REDACTED%'").count() == 1
+
+
+def test_sinks(spark):
+    df = rows(spark, ("b.rs", "two"), ("a.rs", "one \n"), ("README.md", "# T\nintro"))
+    text = lambda f: "".join(r.block for r in f.orderBy("place", "ord").collect())
+    blocks = "// --- FILE_START: b.rs ---\ntwo\n\n// --- FILE_START: a.rs ---\none \n\n\n// --- FILE_START: README.md ---\n# T\nintro"
+    assert text(sinks.combined(df, "x")) == blocks + "\n"
+    head = "| # | File | Tokens |\n|---|------|--------|\n| 1 | b.rs | 1 |\n| 2 | a.rs | 2 |\n| 3 | README.md | 3 |\n\n## Project Summary\n\n> **Overview:** intro\n\n**Composition:**\n- **.rs**: 2 files\n- **.md**: 1 files\n\n---\n\n"
+    assert text(sinks.combined(df, "x", manifest=True, summary=True)) == head + blocks + "\n"
+    assert text(sinks.combined(df, "x", "anthropic")) == '<file path="x">\n<content>\n' + blocks + "\n\n\n</content>\n</file>\n"
+    tree = ops.tree_row(df.select("path"))
+    assert text(sinks.combined(tree.unionByName(df), "x", manifest=True)).startswith("| # | File | Tokens |\n|---|------|--------|\n| 2 | b.rs | 1 |\n| 3 | a.rs | 2 |\n| 4 | README.md | 3 |\n\n```tree\n.\n  ├── README.md\n  ├── a.rs\n  ├── b.rs\n```\n\n// ---")
+    parts = {}
+    for r in sinks.chunk_files(df, 3, "x", summary=True, write="o.md").orderBy("name", "place", "ord").collect():
+        parts[r.name] = parts.get(r.name, "") + r.block
+    assert sorted(parts) == ["o.part1.md", "o.part2.md"] and parts["o.part1.md"].startswith("## Project Summary") and parts["o.part2.md"] == "// --- FILE_START: README.md ---\n# T\nintro\n"
+    assert not any(r.block.startswith("##") for r in sinks.chunk_files(tree.unionByName(df), 3, "x", summary=True).collect())
+    assert {r.name for r in sinks.split_files(df).collect()} == {"b.rs.md", "a.rs.md", "README.md"} and sinks.tokens_only(df).first().tokens == 6
+    assert sinks.combined(df.limit(0), "x", "gpt", manifest=True).count() == 0 and sinks.report(df, df, 3).first().parts == 2
+
+
+def test_pipeline_outputs(spark, tmp_path):
+    df = rows(spark, (".env", "K=1"), ("a.md", "intro\n```py\nx = 1\n# gone\n```\n"), ("z.log", "log"))
+    config = pipeline.PipelineConfig(level="contextual", tree=True)
+    out = {r.path: r.content for r in pipeline.run(df, config).collect()}
+    assert out["a.md"] == "intro\n```py\nx = 1\n```\n" and ".env" in out["_tree.md"] and set(out) == {"_tree.md", "a.md", "z.log"}
+    assert pipeline.output(df, pipeline.PipelineConfig(sink="tokens"), "n").first().tokens == 9 and pipeline.output(df, pipeline.PipelineConfig(sink="json"), "n").count() == 2
+    pruned = pipeline.run(df, pipeline.PipelineConfig(budget=8)).orderBy("ord").collect()
+    assert [r.path for r in pruned] == ["a.md"]
+    sinks.write_blocks(sinks.combined(df, "x"), str(tmp_path / "c"))
+    sinks.write_named(sinks.chunk_files(df, 1, "x"), str(tmp_path / "n"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "c").glob("part-*"))).startswith("// --- FILE_START: .env") and (tmp_path / "n" / "name=gobbled.part1.md").is_dir()
+
+
+def test_crawl(spark):
+    page = lambda *links: "<article><h1>P</h1>" + "".join(f'<a href="{x}">l</a>' for x in links) + "</article>"
+    u = "https://h.test/"
+    pages = spark.createDataFrame(
+        [(u, page("a", "/b#x", "https://o.test/c", "mailto:x@h.test", "http://[bad"), None), (u + "a", page("d/../b", "/no/z", "img"), "text/html; charset=utf-8"), (u + "b", page("/"), "text/plain"), (u + "no/z", page("/e"), None),
+         (u + "e", page(), None), (u + "img", page("/e"), "image/png"), ("https://o.test/c", page(), None), (u + "a", page("/e"), "text/html"), (None, page(), None), (u + "q", None, None)],
+        "url string, html string, content_type string",
+    ).dropDuplicates(["url"])
+    rules = spark.createDataFrame([("h.test", "/no", False)], "host string, prefix string, allow boolean")
+    got = [(r.ord, r.path) for r in graph.crawl(pages.filter("html not like '%\"/e\"%' or url like '%no%' or url like '%img%'"), u, rules).orderBy("ord").collect()]
+    assert got == [(0, "_tree.md"), (1, u), (2, u + "a"), (3, u + "b")]
+    assert [r.path for r in graph.crawl(pages, u, rules, depth=0).collect()] == ["_tree.md", u]
+
+
 def test_search_example(spark):
     df = rows(spark, ("main.rs", "pub fn connect_db() {}"), ("utils.rs", "pub fn parse_date() {}"), ("crawler.rs", "pub fn fetch_url() {}"))
     assert [r.path for r in ops.search(df, "connect", 1).collect()] == ["main.rs"]

@@ -101,6 +101,15 @@ def test_fences():
     assert ("py", "x = 1\n") in parts and "".join(t for _, t in parts) == "a\n```py\nx = 1\n```\nb"
 
 
+def test_markdown_is_compressed_by_its_fences(spark):
+    text = "# Title \n\n\n\nprose // stays\n```rust\nfn f() {} // gone\n/// kept\n```\n~~~py\n# gone\ny = 1\n~~~\n```\n# no language\n"
+    assert one(spark, compress.compress_markdown(F.col("t"), "contextual"), t=text) == "# Title\n\nprose // stays\n```rust\nfn f() {} \n/// kept\n```\n~~~py\n\ny = 1\n~~~\n```\n# no language\n".replace("{} \n", "{}\n")
+    assert one(spark, compress.compress_markdown(F.col("t"), "safe"), t=text) == one(spark, compress.compress(F.col("t"), "safe"), t=text)
+    hard = one(spark, compress.compress_markdown(F.col("t"), "aggressive"), t="the fox\n```py\nx = 1 # the\n# gone\n```\nof it")
+    assert hard == "fox ```py x = 1 # ```" and one(spark, compress.compress_markdown(F.col("t"), "aggressive"), t=None) is None
+    assert "".join(x for _, x in compress.split_fences(text)) == text and compress.split_fences("```js\nopen") == [(None, "```js\n"), ("js", "open"), (None, "")]
+
+
 def test_html(spark):
     page = "<html><nav>Ignore me</nav><article><h1>T</h1><p>The core content</p></article><footer>footer</footer></html>"
     text = one(spark, html.page_to_markdown(F.col("h")), h=page)

@@ -72,9 +72,38 @@ def test_tables_keep_parents(spark):
     assert (posts["1"].favorite_count, posts["2"].favorite_count) == (3, 7)
     got = {(r.kind, r.value): r.post_key for r in nested.attachment_table(df).collect()}
     assert got == {("hashtags", "o"): posts["1"].post_key, ("hashtags", "h"): posts["2"].post_key, ("media", "https://p/x?name=small"): posts["2"].post_key}
-    assert "![](https://p/x?name=orig)" in threads.rendered(df).first().body
+    assert "Media Attached:\n*(https://p/x?name=orig)\n" in threads.rendered(df).first().body
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "payload_id long, payload string")
     assert nested.reply_links(empty).count() == nested.post_table(empty).count() == nested.attachment_table(empty).count() == 0
+
+
+def saved(i, text, handle=None, **more):
+    author = {"core": {"user_results": {"result": {"legacy": {"screen_name": handle, "name": handle.title()}}}}} if handle else {}
+    return {"result": {**author, "legacy": {"id_str": str(i), "full_text": text, "created_at": "May 1", **more}}}
+
+
+def test_threads_are_rendered_with_authors(spark):
+    reply = {"in_reply_to_status_id_str": "7", "in_reply_to_screen_name": "ann"}
+    payload = {"entries": [saved(5, "first", "bob", favorite_count=2, **reply), saved(7, "two\nlines", "ann", retweet_count="x", reply_count=3), saved(8, "own", "ann", **reply), {"tombstone": 1}]}
+    df = spark.createDataFrame([(1, "https://x.com/ann/status/7", json.dumps(payload))] * 2 + [(2, None, "{"), (3, "u", "[]")], "payload_id long, url string, payload string")
+    body = {r.payload_id: r.body for r in threads.rendered(df).collect()}
+    assert body == {
+        1: "Twitter Thread by @ann\nThread URL: https://x.com/ann/status/7\n\n1. @ann (Ann)\nPosted at: May 1 | Likes: 0 | Retweets: 0 | Replies: 3\n> two\n> lines\n---\n\n"
+        "2. @bob (Bob)\nPosted at: May 1 | Likes: 2 | Retweets: 0 | Replies: 0\nReplying to @ann\n> first\n---\n\n3. @ann (Ann)\nPosted at: May 1 | Likes: 0 | Retweets: 0 | Replies: 0\nReplying to @ann\n> own\n---\n\n"
+    }
+    xml = threads.rendered(df, "anthropic").first().body
+    assert xml.startswith('<twitter_thread source_url="https://x.com/ann/status/7">\n  <focal_tweet id="7">\n    <metadata>\n      <author username="@ann" display_name="Ann" />')
+    assert '    <tweet id="5" relationship="external_reply" parent_id="7">' in xml and '<tweet id="8" relationship="self_reply"' in xml and "<text>two\n      lines</text>" in xml and xml.endswith("</twitter_thread>\n")
+
+
+def test_second_shape_of_threads():
+    value = {
+        "focal": {"data": {"id": "1", "text": "t", "author_id": "u2", "created_at": "now", "public_metrics": {"like_count": 4}}, "includes": {"users": [{"id": "u1", "username": "no"}, {"id": "u2", "username": "yes", "name": "Yes"}, {"id": "u2", "username": "late"}]}},
+        "thread": {"data": [{"id": "3", "text": "newest", "author_id": "u9"}, {"id": "2", "text": "older", "author_id": "u1"}]},
+    }
+    focal, others = threads.thread(value, "")
+    assert (focal["handle"], focal["name"], focal["likes"]) == ("yes", "Yes", 4) and [(p["id"], p["handle"]) for p in others] == [("2", "no"), ("3", "unknown")]
+    assert threads.as_markdown(focal, others, "u").count("---") == 3 and threads.thread({"focal": {"data": "x"}}, "") == (None, [])

@@ -71,6 +71,91 @@ def test_directory_and_git(spark, tmp_path):
     assert got(only=changed) == ["z.py"] and files.diffs(spark, str(tmp_path), "HEAD").first().path == "z.py"
 
 
+def test_scan_keeps_every_name_and_opens_no_secret(spark, tmp_path):
+    import os
+
+    names = ["a.py", "pkg/__init__.py", "_config.yml", ".hidden", "deep/er/_x/.y/z.txt", "k.pem", ".ssh/known", "b/.env"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    before = {n: os.stat(tmp_path / n).st_atime_ns for n in names}
+    for n in ("k.pem", ".ssh/known", "b/.env"):
+        os.chmod(tmp_path / n, 0)
+        os.utime(tmp_path / n, ns=(1, 1))
+    got = files.directory(spark, str(tmp_path), hidden=True).orderBy("ord").collect()
+    kept = sorted(["a.py", "pkg/__init__.py", "_config.yml", ".hidden", "deep/er/_x/.y/z.txt"])
+    assert [r.path for r in got] == kept and [r.ord for r in got] == list(range(5)) and all(r.content.decode() == r.path and r.error is None for r in got) and before
+    assert all(os.stat(tmp_path / n).st_atime_ns == 1 for n in ("k.pem", ".ssh/known", "b/.env"))
+    assert [r.path for r in files.directory(spark, str(tmp_path)).orderBy("ord").collect()] == ["_config.yml", "a.py", "pkg/__init__.py"]
+    assert files.listing(spark, str(tmp_path)).count() == 8 and files.directory(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_wide_directories_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FAN_OUT", 3)
+    for i in range(5):
+        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "e" / f"_{i}.txt").write_text("x")
+    assert sorted(r.path for r in files.listing(spark, str(tmp_path)).collect()) == [f"d{i}/e/_{i}.txt" for i in range(5)]
+
+
+def test_single_targets(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("one")
+    one = files.target(spark, str(tmp_path / "x.txt")).first()
+    assert one.path == str(tmp_path / "x.txt") and one.content == b"one"
+    assert files.target(spark, str(tmp_path)).first().error and files.target(spark, str(tmp_path), whole=True).first().path == "x.txt"
+    r = registry.Registry()
+    assert "Unavailable" in r.split(files.target(spark, "https://a.test/x"))[1].first().error
+
+
+def test_router(spark):
+    page = "<html><script>1</script><nav>Menu</nav><article><h1>T</h1><p>" + "word " * 12 + "</p></article></html>"
+    rust = "fn a() { 1 }\nstruct S { x: u8 }\n"
+    items = [("p.HTML", page), ("q.htm", "<html>Sign in with Google</html>"), ("r.htm", "<script>x</script><p>hi"), ("a.rs", rust), ("d/t.csv", "Name,Age\nDino,30\n\nOld, \n"), ("u.csv", "a,b\nc\n"), ("i.png", "x"), ("n.md", "# x")]
+    rows = spark.createDataFrame([(i, p, c.encode()) for i, (p, c) in enumerate(items)], "ord long, path string, content binary")
+    got = {r.ord: (r.text, r.error) for r in registry.Registry().parse(rows).collect()}
+    assert got[0][0].startswith("# T") and "Menu" not in got[0][0] and "login" in got[1][1] and "scripts" in got[2][1]
+    assert got[3][0] == "fn a() { /* body elided */ }\nstruct S { x: u8 }\n" and got[7][0] == "# x"
+    assert got[4][0] == "## Dataset: t.csv\n\nRow 1: Col A: Name; Col B: Age\nRow 2: Col A: Dino; Col B: 30\nRow 3: Col A: Old\n" and "ValueError" in got[5][1] and "Unavailable" in got[6][1]
+    full = registry.Registry(full=True)
+    full.provide("image", lambda data, path: "seen")
+    got = {r.ord: r.text for r in full.parse(rows.filter("ord IN (3, 6)")).collect()}
+    assert got == {3: rust, 6: "## Image Text: i.png\n\nseen"}
+    assert registry.Registry(extract="symbols").parse(rows.filter("ord = 3")).first().text == "fn a()\nstruct S { ... }"
+
+
+def test_plugins_give_way_unless_asked_for_by_name(spark):
+    r = registry.Registry()
+    r.register("gob", lambda data, ext: 1 / 0)
+    rows = spark.createDataFrame([(1, "a.gob", b"plain")], "ord long, path string, content binary")
+    assert r.parse(rows).first().text == "plain"
+    with pytest.raises(Exception, match="division by zero"):
+        r.parse(rows, plugin="gob").collect()
+    with pytest.raises(KeyError):
+        r.parse(rows, plugin="none")
+
+
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    root, state = tmp_path / "in", tmp_path / "state"
+    root.mkdir()
+    (root / "_a.txt").write_text("1")
+    seen = []
+
+    def until(wanted):
+        q = watch.watch(spark, str(root), lambda c: seen.extend((r.path.rsplit("/", 1)[1], r.change) for r in c.collect()), str(state), "200 milliseconds")
+        try:
+            end = time.time() + 60
+            while wanted not in seen and time.time() < end:
+                time.sleep(0.2)
+            time.sleep(1)
+        finally:
+            q.stop()
+
+    until(("_a.txt", "created"))
+    (root / "b.txt").write_text("2")
+    until(("b.txt", "created"))
+    assert seen == [("_a.txt", "created"), ("b.txt", "created")] and len(list((state / "snapshots").glob("*.done"))) == 1
+
+
 def test_watch(spark, tmp_path):
     root, state = tmp_path / "in", tmp_path / "state"
     root.mkdir()
