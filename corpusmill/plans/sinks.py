@@ -115,17 +115,22 @@ def report(before: DataFrame, after: DataFrame, threshold: int | None = None) ->
 # --- writers --------------------------------------------------------------------------------------------------------------
 
 
+def _line(block: Column) -> Column:
+    """A block without the line end that the writer puts after it; every block ends with one."""
+    return F.when(block.endswith("\n"), F.left(block, F.length(block) - 1)).otherwise(block)
+
+
 def write_blocks(blocks: DataFrame, folder: str) -> None:
     """Text files that read in the order of their names give the output."""
     order = [c for c in ("place", "ord") if c in blocks.columns]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).select("block").write.option("lineSep", "").text(folder)
+    blocks.repartitionByRange(*order).sortWithinPartitions(*order).select(_line(F.col("block")).alias("block")).write.text(folder)
 
 
 def write_named(blocks: DataFrame, folder: str) -> None:
     """One folder a name, whose text files in the order of their names give that file."""
     order = [c for c in ("name", "place", "ord") if c in blocks.columns]
     body = F.col("block" if "block" in blocks.columns else "body")
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).select(F.replace("name", F.lit("/"), F.lit("%2F")).alias("name"), body.alias("block")).write.partitionBy("name").option("lineSep", "").text(folder)
+    blocks.repartitionByRange(*order).sortWithinPartitions(*order).select(F.replace("name", F.lit("/"), F.lit("%2F")).alias("name"), _line(body).alias("block")).write.partitionBy("name").text(folder)
 
 
 def write_json(rows: DataFrame, folder: str) -> None:
