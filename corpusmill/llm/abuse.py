@@ -47,15 +47,29 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\s\"')\]]+")
 _PREFIX = re.compile(r"^\s*(?:[>*#|-]+\s*|\d+[.)]\s+|[A-Z][\w ]{0,14}:\s+|\*\*[^*]{1,20}\*\*\s*)+")
 
 
-def tokens(text: str) -> list[str]:
-    out: list[str] = []
-    for t in _TOKEN.findall(text):
+class _Forms(dict):
+    """The compared form of each token, kept."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
         if t[0] == "@":
-            out.append("<at>")
+            form = "<at>"
         elif t.isdigit():
-            out.append("<n>")
+            form = "<n>"
         else:
-            out.append(t.lower().translate(_LOOKALIKE) if any(c in "013457$@!" for c in t) else t.lower())
+            form = t.lower().translate(_LOOKALIKE) if any(c in "013457$@!" for c in t) else t.lower()
+        self[t] = form
+        return form
+
+
+_FORMS = _Forms()
+
+
+def tokens(text: str) -> list[str]:
+    out = [_FORMS[t] for t in _TOKEN.findall(text)]
+    if sum(len(t) == 1 for t in out) < 3:
+        return out
     joined: list[str] = []
     i = 0
     while i < len(out):  # s p a c e d letters
@@ -100,6 +114,7 @@ class Model:
                     types[gram[2]] += 1
         self.shared, self.shared_n, self.words = dict(types), sum(types.values()), len(types) + 1
         self.levels = [self._levels(t) for t in tri]
+        self.low: dict = {}
 
     @staticmethod
     def _levels(tri: dict) -> list[tuple[dict, dict, dict]]:
@@ -144,6 +159,26 @@ class Model:
             r = min(r, math.log(self._p(1, gram, own[1], (2,)) / self._p(0, gram, own[0], (2,))))
         return r
 
+    def _seen(self, gram: tuple, low: dict) -> float:
+        """`_ratio` with nothing left out; what the last two words and the last word give is kept in `low`."""
+        pair, word = gram[1:], gram[2:]
+        known = low.get(pair)
+        if known is None:
+            if len(low) > 400_000:
+                low.clear()
+            one = low.get(word)
+            if one is None:
+                one = low[word] = tuple(self._step(c, 2, word, (self.shared.get(gram[2], 0) + 1.0) / (self.shared_n + self.words)) for c in (0, 1))
+            known = low[pair] = (*(self._step(c, 1, pair, one[c]) for c in (0, 1)), math.log(one[1] / one[0]) if self.levels[1][1][0].get(pair, 0.0) <= 0 else None)
+        r = math.log(self._step(1, 0, gram, known[1]) / self._step(0, 0, gram, known[0]))
+        return r if known[2] is None else min(r, known[2])
+
+    def _step(self, c: int, order: int, gram: tuple, p: float) -> float:
+        """One order of interpolation over the lower orders' probability `p`."""
+        counts, sums, kinds = self.levels[c][order]
+        total = sums.get(gram[:-1], 0.0)
+        return (max(counts.get(gram, 0.0) - DISCOUNT, 0.0) + (kinds[gram[:-1]] + 1.0) * p) / (total + 1.0) if total > 0 else p
+
     def ratios(self, words: tuple[str, ...], memo: dict) -> list[float]:
         """The log-ratio toxic to ordinary of each word."""
         padded, out = ("<s>", "<s>", *words), []
@@ -153,7 +188,7 @@ class Model:
             if r is None:
                 if len(memo) > 400_000:
                     memo.clear()
-                r = memo[gram] = self._ratio(gram)
+                r = memo[gram] = self._seen(gram, self.low)
             out.append(r)
         return out
 

@@ -1,23 +1,26 @@
 """Main content of web pages, by paths on which the pages of a host agree.
 
-Stored pages are text, so a line's container is known from its form alone: heading, list item, code, menu row, sentence
-paragraph or label. A line's generalised path is its container with the variable parts taken out: digits and build
-numbers become one sign; a paragraph has the paths of its sentences, a label those of its whole text and of its first two
-words. In three steps:
-
-1. score: each page's lines vote for their paths. A label votes for `furniture` outside the stretch from the page's first
-   to its last paragraph or heading, and against it where the page's title would stand.
-2. vote: paths are summed over pages by host and over all hosts. A sentence path is furniture if it comes on several
-   pages but always as the same line, as articles put their sentences into different paragraphs; a label path is
-   furniture if it comes on several pages and mostly where furniture stands.
-3. re-extract: each page is taken again with its host's winning paths.
+Stored pages are text, so a line's container is known from its form alone: heading, list item, code, link, menu row,
+sentence paragraph or label. A line has generalised paths from the particular to the general, with the variable parts (digits
+and build numbers) taken out: a paragraph those of its sentences; a label its whole text, its first two words and its form;
+every other container its form, that is its kind, whether it holds details of its own, and whether it looks like a title.
+Three steps, and nothing but the votes decides which paths are furniture:
+
+1. score: a page's long paragraphs, headings, code and items span its body, as far as the page alone can tell. What lies
+   within votes against, what lies outside votes for its paths being furniture; the plain title before the body votes
+   against. A page without a body does not vote on forms.
+2. vote: votes are summed over pages by host and over all hosts. A sentence is furniture if it comes on several pages but
+   always as the same line, as articles put their sentences into different paragraphs, and not always within. A text or form of a label, link or
+   menu is furniture where most votes say so; a form is judged by its host where that has FORM_PAGES votes on it, else by all.
+3. re-extract: each page is taken again with its host's winning paths. A paragraph is furniture if all its sentences are; a
+   label if its text, its beginning (unless it holds details) or its form is; any other line if its form is.
 
 Votes are summed by (host, path) with partial sums before the shuffle, so a host with a third of all pages is one row a
 path; a host's winning paths are joined to its pages as one array.
 
-Defined results: null content is no page and gives nothing; a page without an article gives only furniture lines; blank
-lines belong to neither; CRLF line ends are taken as one; pages of a null or lone host are judged by the votes of all
-hosts; repeated rows vote again (each is a page) and each gets its own result. Paths that are no http(s) URL are ignored.
+Defined results: null content is no page and gives nothing; blank lines belong to neither part; CRLF line ends are taken as
+one; pages of a null or lone host are judged by the votes of all hosts; repeated rows vote again (each is a page) and each
+gets its own result; where no page has voted nothing is furniture. Paths that are no http(s) URL are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut
 
-#: A path needs so many pages of a host, or so many pages on at least two hosts, before it can win.
-HOST_PAGES, ALL_PAGES = 4, 6
+#: A path needs so many pages of a host, or so many pages on at least two hosts, before it can win; a form needs more votes
+#: of a host before that host's word on it counts.
+HOST_PAGES, ALL_PAGES, FORM_PAGES = 4, 6, 20
 #: A sentence path wins if it comes in at most this many kinds of lines a page.
 LINES_A_PAGE = 0.25
-#: A label path wins if this share of its votes is for furniture.
-LABEL_SHARE = 0.5
+#: and if it stands outside the body in at least this share of its places: what is put between paragraphs also ends pages.
+OUTSIDE = 0.1
 
 URL = r"^(?i)https?://"
 _NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+")
@@ -49,13 +53,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _END = re.compile(r"[.!?:;,…]['\")\]]*$")
 
 
-#: Fixed signs of a line that speaks to the visitor rather than of the page's subject; a sentence that wins the vote needs
-#: one to count as furniture within the article, as articles repeat short sentences too.
-_VISITOR = re.compile(
-    r"(?i)©|rights reserved|subscribe|newsletter|weekly letter|for free|it free|no card|sign up|cookies?\b.*(accept|use|akzept|accept)"
-    r"|helpful\?|hilfreich\?|utile ?\?|útil\?|write to|contact|advert|your (privacy|device|experience)|legitimate interest"
-    r"|abonnez|suscr[ií]b|kostenlos|gratuit|gratis|dienste sind|audience|partners process|rate this|comments?\b"
-)
 #: Characters of a paragraph from which it counts as an article's before any vote.
 SURE_CHARS = 110
 
@@ -99,12 +96,13 @@ def key(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{text}") - (1 << 63)
 
 
-#: A label with details of its own (numbers, a mailbox other than the site's) is running text cut short, not furniture.
-_DETAIL = re.compile(r"\d[\d ()./-]{5,}\d|(?<!hello)(?:@|&#64;)\w|(?<![.\d])\b\d{1,5}[a-z]?,? [A-Za-z]|\w \d{1,4}[a-z]?,|[A-Z]{2} ?\d{6}")
+#: Details of a line's own: numbers with several digits, a mailbox, a house number.
+_DETAIL = re.compile(r"\d[\d ()./-]{5,}\d|(?:@|&#64;)\w|(?<![.\d])\b\d{1,5}[a-z]?,? [A-Za-z]|\w \d{1,4}[a-z]?,|[A-Z]{2} ?\d{6}")
+_COUNT = re.compile(r"©|\d+ \w+$|[^\w]*\d+\W*$")
 
 
 def has_detail(text: str) -> bool:
-    return bool(_DETAIL.search(text)) and not re.match(r"©|\d+ \w+$|(?:.{0,20}: )?Release \d+\.\d+ |[^\w]*\d+\W*$", text)
+    return bool(_DETAIL.search(text)) and not _COUNT.match(text)
 
 
 def label_keys(text: str) -> tuple[int, int]:
@@ -113,59 +111,63 @@ def label_keys(text: str) -> tuple[int, int]:
     return key("label", n), key("start", " ".join(words[:2]) if len(words) > 2 or ":" in n else n)
 
 
-def stretch(lines: list[tuple[str, str]], wins: set[int] | None) -> tuple[int, int, int]:
-    """(first, last, title): the first and last line of article form and the plain title before them, or -1. Before the
-    vote (`wins` None) only long paragraphs count."""
+def sentence_keys(text: str) -> set[int]:
+    return {key("sentence", normal(s)) for s in _SENTENCE.split(text)}
+
+
+def form_key(kind: str, text: str, title: bool, within: bool) -> int:
+    """The path of a container's form. Where it stands counts for the title, and for labels with details, which close an
+    article as often as a page."""
+    detail = has_detail(text)
+    place = "title" if title else "within" if within and detail and kind == "label" else ""
+    return key("form", f"{kind} {detail} {_title_like(text)} {place}")
+
+
+def stretch(lines: list[tuple[str, str]], wins: frozenset[int] | None) -> tuple[int, int, int]:
+    """(first, last, title): the first and last line of the body and the plain title before it, or -1. Before the vote
+    (`wins` None) only long paragraphs count, after it those that hold a sentence that has not won."""
     strong = [
-        i
-        for i, (k, t) in enumerate(lines)
-        if k in ("heading", "code", "item") or (k == "paragraph" and (len(t) >= SURE_CHARS if wins is None else not furniture_paragraph(t, wins)))
-    ]
+        i for i, (k, t) in enumerate(lines)
+        if k in ("heading", "code", "item") or (k == "paragraph" and (len(t) >= SURE_CHARS if wins is None else not sentence_keys(t) <= wins))
+    ]
     if not strong:
         return -1, -1, -1
     first, last = strong[0], strong[-1]
+    # labels with details that close the last paragraph's block belong to it
+    while last + 1 < len(lines) and lines[last + 1][0] in ("label", "menu") and has_detail(lines[last + 1][1]) and not (wins and label_keys(lines[last + 1][1])[0] in wins):
+        last += 1
     title = -1
     if not lines[first][1].startswith("# "):
         for i in range(first - 1, -1, -1):
             kind, text = lines[i]
-            if kind == "blank" or (kind == "label" and wins and label_keys(text)[0] in wins) or kind == "paragraph":
+            if kind == "blank" or kind == "paragraph" or (kind == "label" and wins and label_keys(text)[0] in wins):
                 continue
             if kind == "label":
                 title = i
             break
-    if wins is not None:  # labels with details that close the last paragraph's block belong to it
-        while last + 1 < len(lines) and lines[last + 1][0] in ("label", "menu") and has_detail(lines[last + 1][1]) and label_keys(lines[last + 1][1])[0] not in wins:
-            last += 1
-    if wins:  # short repeated sentences that do not speak to the visitor belong to the article they stand in
-        for i in range(last + 1, len(lines)):
-            kind, text = lines[i]
-            if kind == "paragraph" and not _VISITOR.search(text):
-                last = i
-            elif kind != "blank":
-                break
     return first, last, title
 
 
-def furniture_paragraph(text: str, wins: set[int]) -> bool:
-    """All sentences of the paragraph are furniture."""
-    return bool(wins) and all(key("sentence", normal(s)) in wins for s in _SENTENCE.split(text))
-
-
 def votes(content: str) -> Iterator[tuple[int, int, int, int]]:
-    """(path, is a sentence, vote, hash of the line)."""
+    """(path, kind, vote, hash of the line); kind is 0 for texts of labels, 1 for sentences and 2 for forms."""
     lines = containers(content)
     first, last, title = stretch(lines, None)
     for i, (kind, text) in enumerate(lines):
+        if kind == "blank":
+            continue
+        within = first <= i <= last
         if kind == "paragraph":
             line = xxhash.xxh3_64_intdigest(normal(text)) - (1 << 63)
-            for s in set(_SENTENCE.split(text)):
-                yield key("sentence", normal(s)), 1, 0, line
+            for k in sentence_keys(text):
+                yield k, 1, -1 if within else 1, line
         elif kind == "label":
             for k in label_keys(text):
                 yield k, 0, -1 if i == title else 1, 0
+        # a page without a body names its forms, so that others' votes reach them, and casts none
+        yield form_key(kind, text, i == title, within), 2, 0 if first < 0 else -1 if within or i == title else 1, 0
 
 
-def furniture(content: str, wins: set[int]) -> list[bool | None]:
+def furniture(content: str, wins: frozenset[int]) -> list[bool | None]:
     """Of each line whether it is furniture; None for blank lines."""
     lines = containers(content)
     first, last, title = stretch(lines, wins)
@@ -173,25 +175,14 @@ def furniture(content: str, wins: set[int]) -> list[bool | None]:
     for i, (kind, text) in enumerate(lines):
         if kind == "blank":
             out.append(None)
-        elif first < 0:
-            out.append(True)
-        elif kind == "link" or (kind == "menu" and not (first <= i <= last and has_detail(text))):
-            out.append(True)
-        elif kind == "menu":
-            out.append(False)
-        elif kind == "label":
-            exact, start = label_keys(text)
-            if i == title:
-                out.append(False)
-            elif (title if title >= 0 else first) < i < last:  # between article lines a label needs the host's word
-                out.append(exact in wins or ((start in wins or _title_like(text)) and not has_detail(text)))
-            else:
-                out.append(not (first <= i <= last and has_detail(text)))
         elif kind == "paragraph":
-            inside = (title if title >= 0 else first) < i <= last
-            out.append(furniture_paragraph(text, wins) and (not inside or bool(_VISITOR.search(text))))
+            out.append(sentence_keys(text) <= wins)
         else:
-            out.append(not first <= i <= last)
+            lost = form_key(kind, text, i == title, first <= i <= last) in wins
+            if kind == "label" and i != title and not lost:
+                exact, start = label_keys(text)
+                lost = exact in wins or (start in wins and not has_detail(text))
+            out.append(lost)
     return out
 
 
@@ -231,13 +222,14 @@ def winners(page_rows: DataFrame) -> DataFrame:
 
     def wins(pages_needed):
         # of a path on several hosts, its one line on each is one kind
-        by_lines = (F.col("sentence") == 1) & (F.col("lines") <= F.greatest(F.lit(1), F.col("n") * LINES_A_PAGE))
-        by_votes = (F.col("sentence") == 0) & (F.col("vote") >= F.col("n") * (2 * LABEL_SHARE - 1)) & (F.col("vote") > 0)
-        return (F.col("n") >= pages_needed) & (by_lines | by_votes)
+        by_lines = (F.col("sentence") == 1) & (F.col("lines") <= F.greatest(F.lit(1), F.col("n") * LINES_A_PAGE)) & (F.col("vote") + F.col("n") >= 2 * OUTSIDE * F.col("n"))
+        return (F.col("n") >= pages_needed) & (by_lines | ((F.col("sentence") != 1) & (F.col("vote") > 0)))
 
     everywhere = overall.filter((F.col("hosts") > 1) & wins(ALL_PAGES)).select("path")
-    own = by_host.filter(wins(HOST_PAGES)).select("host", "path")
-    shared = by_host.select("host", "path").join(everywhere, "path", "left_semi")
+    form = F.col("sentence") == 2
+    own = by_host.filter(F.when(form, wins(FORM_PAGES)).otherwise(wins(HOST_PAGES))).select("host", "path")
+    # what a host's pages are too few to tell is told by all hosts'
+    shared = by_host.filter(~form | (F.col("n") < FORM_PAGES)).select("host", "path").join(everywhere, "path", "left_semi")
     return own.unionByName(shared.select("host", "path")).groupBy("host").agg(F.collect_set("path").alias("wins"))
 
 

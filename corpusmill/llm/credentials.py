@@ -159,6 +159,8 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str, str | No
         yield from _in_parts(content)
     for m in _RUN.finditer(content):
         run = m[0]
+        if run.isalpha() and not run.startswith("AKIA"):
+            continue  # a word
         numbered = any(c in run for c in "0123456789") or _GROUPED.match(run)
         for start, value in _values(content, m.start(), run):
             if _TWO_KINDS.match(value) and not _FORM.match(value):

@@ -469,5 +469,14 @@ def test_abuse_held_out(spark):
     assert held_out <= found and not {i for i in range(240, 400) if i % 8} & found and 900 in found and not {901, 902} & found
 
 
+def test_kept_orders_give_the_same_ratios():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    model = abuse.Model([(tuple(rng.choice(words) for _ in range(rng.randrange(1, 9))), rng.choice([0.0, 0.3, 1.0])) for _ in range(150)])
+    for _ in range(500):
+        gram = tuple(rng.choice([*words, "new", "<s>"]) for _ in range(3))
+        assert abs(model._seen(gram, model.low) - model._ratio(gram)) < 1e-9, gram
+
+
 def test_words_without_disguise():
     assert abuse.tokens("Y0u are an i d i o t, @someone 12!") == ["you", "are", "an", "idiot", "<at>", "<n>"]
