@@ -1,18 +1,19 @@
 """Generated, minified, vendored and data-only source files, by Merkle hashes and by header and layout.
 
-Merkle part: a file's hash is that of its content; a directory's hash is made bottom-up from the sum of its children's
-mixed hashes (a sum, so that no list of children is ever built), and a directory with one child has its child's hash, so
-that a moved copy keeps it. A file or subtree whose hash stands in two or more repositories was copied there. From the
-copied files the names of the directories that hold copies are learned (a name in whose subtrees at least
-LEARNED_SHARE of the files are copies, in LEARNED_REPOS repositories), which also gives copies of which only one was
-crawled.
+Merkle part: every file of a repository has the hash of its content; a directory's hash is made bottom-up from the sum of its
+children's mixed hashes (a sum, so that no list of children is ever built), and a directory with one child has its child's
+hash, so that a moved copy keeps it. Names are no part of a hash. A file or subtree whose hash stands in repositories of two
+or more owners was copied there. From the copied files the directories that hold copies are learned, by name and by place
+under the root (one in which at least LEARNED_SHARE of the files are copies, in LEARNED_REPOS repositories), which also gives
+copies of which only one was crawled.
 
-Header and layout part, by file: a notice of generation in a comment at the head; lock files; lines too long for hands
-holding most of the file; a file of nothing but literals; a file of nothing but numbered accessors.
+Header and layout part, by file: a notice of generation or origin among the comments at the head; lock files; lines too long
+for hands holding most of the file; a file of nothing but literals; a file of nothing but numbered accessors.
 
 Defined results: files of null content, and paths of other languages (pages, scans, notes, logs, tables, configuration),
-are no cases; empty and blank files and those under LEAST_BYTES are never copies; a null repository shares nothing;
-repeated rows of one repository are one file to the Merkle hashes and each row gets the result.
+are no cases; empty and blank files are never copies, those under LEAST_BYTES only within a copied subtree of several files;
+a null repository shares nothing; repeated rows of one repository are one file to the Merkle hashes and each row gets the
+result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import cut, small
@@ -29,13 +30,12 @@ from corpusmill.session import cut, small
 #: File name ends of languages that are written by hand or machine (fixed values).
 SOURCE = ("py", "js", "ts", "jsx", "tsx", "rs", "go", "java", "c", "h", "cpp", "hpp", "cc", "css", "scss", "rb", "php", "cs", "kt", "swift", "scala")
 LOCKS = ("package-lock.json", "deps-lock.json", "yarn.lock", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "go.sum", "pnpm-lock.yaml", "Gemfile.lock")
-#: Directories at the root of a repository that hold third-party packages, one directory each.
-VENDOR_ROOTS = ("vendor", "node_modules", "third_party", "external", "extern", "deps")
 LEAST_BYTES = 40
 LEARNED_SHARE, LEARNED_REPOS = 0.8, 3
 #: A line longer than this is not written by hand; such lines must hold this share of the file.
 LONG_LINE, LONG_SHARE = 300, 0.6
-HEAD_LINES = 5
+#: Lines of code that the head of a file may hold between its comments.
+HEAD_CODE = 5
 #: Languages that are minified, and the ordinary lines such a file may have beside the long ones.
 MINIFIED = ("js", "ts", "jsx", "tsx", "css", "scss", "php")
 FEW_LINES = 6
@@ -48,10 +48,11 @@ _NOTICE = re.compile(
     r"|\bmachine[- ](?:written|generated)\b|\bautomatisch erzeugt|\bg[ée]n[ée]r[ée] automatiquement|\bgenerado autom[áa]ticamente"
     r"|\b(?:edits|changes) (?:are|will be|to this file will be) (?:overwritten|lost)"
 )
+_LOCK = re.compile(r'^\s*\{(?:\s*"[^"]*"\s*:\s*(?:"[^"]*"|[\w.]+)\s*,)*\s*"lockfileVersion"\s*:')
 _NOT = re.compile(r"(?i)\b(?:not|never|nicht) (?:auto-?|automatically |automatisch )?(?:generated|erzeugt)")
 _VENDORED = re.compile(
-    r"(?i)\bvendored (?:unchanged|from|copy)|^\W*upstream: \S+|\bis part of \S+ \d+\.\d+[\w.]*, see upstream|^\W*\w+ v\d+\.\d+\.\d+ - released under"
-    r"|^\W*copyright the \w+ contributors; version \d|^/\*!.*\bv\d+\.\d+"
+    r"(?i)\bvendored (?:unchanged|from|copy)|^\W*upstream: \S+|\bis part of \S+ v?\d+\.\d+|^\W*\w+ v\d+\.\d+\.\d+ - released under"
+    r"|^\W*copyright (?:\(c\) |© )?the \w+ (?:authors|contributors)\W+version \d|^/\*!.*\bv\d+\.\d+"
 )
 _LITERAL = re.compile(r"0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _ACCESSOR = re.compile(r"(?m)^\s*(?:(?:export|public|private|static|final|pub|async|inline|const)\s+)*(?:def|function|fn|func(?: \([^)]*\))?|[\w:<>\[\]*&]+)\s+[*&]?[gs]et_?\w+\s*\(", re.I)
@@ -59,19 +60,40 @@ _WORD = re.compile(r"\w+")
 _BLOCK = re.compile(r"(?m)^\s*(?:def|function|fn|func|if|for|while|switch|match|try|else|case|const|import|from|use|#include|require)\b")
 
 
+def head(content: str) -> Iterator[str]:
+    """The comment lines at the head of a file, however many: those before HEAD_CODE lines that are no comment, blank or
+    preprocessor line, with the lines inside a block comment."""
+    code, inside, at, n = 0, None, 0, len(content)
+    while at < n and code < HEAD_CODE:
+        end = content.find("\n", at)
+        line = content[at : end if end >= 0 else n]
+        at = end + 1 if end >= 0 else n
+        text = line.strip()
+        if inside:
+            yield line
+            if inside in text:
+                inside = None
+        elif _COMMENT.match(line):
+            yield line
+            for opening, closing in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''")):
+                if text.startswith(opening) and closing not in text[len(opening) :]:
+                    inside = closing
+        elif text:
+            code += 1
+
+
 def reason(path: str, content: str) -> str | None:
     """Why a single file, by itself, is not hand-written; None if nothing says so."""
     name = path.rsplit("/", 1)[-1]
-    if name in LOCKS or (name.endswith(".json") and '"lockfileVersion"' in content[:200]):
+    if name in LOCKS or (name.endswith(".json") and _LOCK.search(content)):
         return "lock file"
     if name.rsplit(".", 1)[-1].lower() not in SOURCE or "." not in name:
         return None
-    for line in content[:2_000].split("\n", HEAD_LINES)[:HEAD_LINES]:
-        if _COMMENT.match(line):
-            if _NOTICE.search(line) and not _NOT.search(line):
-                return "generated"
-            if _VENDORED.search(line):
-                return "vendored"
+    for line in head(content):
+        if _NOTICE.search(line) and not _NOT.search(line):
+            return "generated"
+        if _VENDORED.search(line):
+            return "vendored"
     size = len(content)
     if size < LEAST_BYTES:
         return None
@@ -99,24 +121,26 @@ def reason(path: str, content: str) -> str | None:
 
 
 def sources(file_nodes: DataFrame) -> DataFrame:
-    """(ord, repo, path, reason, file): rows of source and lock files; `file` is the content's hash, null if too short."""
+    """(ord, repo, path, reason, file, big): rows of all files but pages; `file` is the content's hash, null if it is blank, and
+    `reason` is set for source and lock files only. Texts of other files are hashed and go no further."""
     name = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     lock = F.element_at(F.split("path", "/"), -1).isin(*LOCKS)
-    rows = file_nodes.filter(F.col("content").isNotNull() & F.col("path").isNotNull() & ~F.col("path").rlike(r"^(?i)https?://") & (name.isin(*SOURCE, "json") | lock))
-    rows = rows.select(
+    rows = file_nodes.filter(F.col("content").isNotNull() & F.col("path").isNotNull() & ~F.col("path").rlike(r"^(?i)https?://")).select(
         F.col("ord").cast("long").alias("ord"),
         F.col("repo").cast("string").alias("repo"),
         F.col("path").cast("string").alias("path"),
-        F.when((F.octet_length("content") >= LEAST_BYTES) & name.isin(*SOURCE) & (F.trim("content") != ""), F.xxhash64("content")).alias("file"),
-        F.col("content").cast("string").alias("content"),
+        F.when(F.col("content").rlike(r"\S"), F.xxhash64("content")).alias("file"),
+        (F.octet_length("content") >= LEAST_BYTES).alias("big"),
+        F.when(name.isin(*SOURCE, "json") | lock, F.col("content").cast("string")).alias("content"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            why = [reason(p, c) for p, c in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(why, pa.string())], names=["ord", "repo", "path", "file", "reason"])
+            why = [reason(p, c) for p, c in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(why, pa.string())], names=["ord", "repo", "path", "file", "big", "reason"])
 
-    return rows.mapInArrow(run, "ord long, repo string, path string, file long, reason string")
+    judged = rows.filter("content is not null").mapInArrow(run, "ord long, repo string, path string, file long, big boolean, reason string")
+    return judged.unionByName(rows.filter("content is null").drop("content").withColumn("reason", F.lit(None).cast("string")))
 
 
 def merkle(files: DataFrame) -> DataFrame:
@@ -146,41 +170,51 @@ def merkle(files: DataFrame) -> DataFrame:
     return out.select("repo", "dir", "node", "n_files")
 
 
+def owner(repo: Column) -> Column:
+    """Repositories of one owner (the part before the first slash) are related."""
+    return F.substring_index(repo, "/", 1)
+
+
 def shared_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, repos) of nodes in two or more repositories; a hot hash is one row a repository before it is counted."""
-    return nodes.select("repo", "node").distinct().groupBy("node").agg(F.count("*").alias("repos")).filter("repos > 1")
+    """(node, owners) of nodes in repositories of two or more owners; a hot hash is one row an owner before it is counted."""
+    return nodes.select(owner(F.col("repo")).alias("owner"), "node").distinct().groupBy("node").agg(F.count("*").alias("owners")).filter("owners > 1")
 
 
 def judged(file_nodes: DataFrame) -> DataFrame:
     """(ord, repo, path, reason) of every source or lock file; `reason` null for hand-written ones."""
     files = cut(sources(file_nodes))
-    trees = merkle(files).select("repo", "dir", "node")
-    leaf = files.filter("repo is not null and file is not null").select("repo", F.col("file").alias("node"))
+    trees = cut(merkle(files)).filter("n_files > 1").select("repo", "dir", "node")  # of one file only its own hash counts
+    leaf = files.filter("repo is not null and file is not null and big").select("repo", F.col("file").alias("node"))
     shared = cut(shared_nodes(leaf.unionByName(trees.select("repo", "node"))))
     near = small(shared)
-    copies = files.filter("repo is not null and file is not null").join(near.withColumnRenamed("node", "file"), "file", "left_semi").select("ord")
+    source = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*SOURCE)
+    copies = files.filter(source & F.expr("repo is not null and file is not null and big")).join(near.withColumnRenamed("node", "file"), "file", "left_semi").select("ord")
     # subtrees copied as a whole, whatever the size of their files
     roots = trees.join(near, "node", "left_semi").select("repo", "dir").filter("dir <> ''").distinct()
     up = files.filter("repo is not null").select("ord", "repo", F.explode(_ancestors(F.col("path"))).alias("dir"))
     inside = up.join(roots, ["repo", "dir"], "left_semi").select("ord")
     copies = cut(copies.unionByName(inside).distinct())
     # names of directories that hold copies
-    named = files.filter("repo is not null and file is not null").join(copies.withColumn("copy", F.lit(1)), "ord", "left")
-    named = named.select("ord", "repo", F.coalesce("copy", F.lit(0)).alias("copy"), F.explode(F.array_distinct(_directories(F.col("path")))).alias("name"))
+    named = files.filter(source & F.expr("repo is not null and file is not null and big")).join(copies.withColumn("copy", F.lit(1)), "ord", "left")
+    named = named.select("ord", "repo", F.coalesce("copy", F.lit(0)).alias("copy"), F.explode(_places(F.col("path"))).alias("name"))
     by_repo = named.groupBy("name", "repo").agg(F.count("*").alias("n"), F.sum("copy").alias("copies"))
     learned = (
         by_repo.groupBy("name").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.count_if(F.col("copies") > 0).alias("repos"))
         .filter((F.col("copies") >= LEARNED_SHARE * F.col("n")) & (F.col("repos") >= LEARNED_REPOS)).select("name")
     )
     in_named = named.join(small(cut(learned)), "name", "left_semi").select("ord")
-    at_root = F.col("path").rlike("^(?:" + "|".join(VENDOR_ROOTS) + r")/[^/]+/")
     vendored = copies.unionByName(in_named).distinct().withColumn("copied", F.lit(True))
-    source = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*SOURCE)
-    filled = F.col("file").isNotNull()
-    return files.join(vendored, "ord", "left").select(
-        "ord", "repo", "path",
-        F.coalesce(F.when(source & filled & (F.col("copied") | (at_root & F.col("repo").isNotNull())), F.lit("vendored")), "reason").alias("reason"),
-    )
+    lock = F.element_at(F.split("path", "/"), -1).isin(*LOCKS)
+    kinds = files.filter(source | lock | F.lower("path").endswith(".json"))
+    return kinds.join(vendored, "ord", "left").select(
+        "ord", "repo", "path", F.coalesce(F.when(source & F.col("file").isNotNull() & F.col("copied"), F.lit("vendored")), "reason").alias("reason")
+    )
+
+
+def _places(path):
+    """What names a directory: its name anywhere, and its path from the repository's root."""
+    names = F.array_distinct(_directories(path))
+    return F.concat(names, F.transform(F.slice(_directories(path), 1, 1), lambda d: F.concat(F.lit("/"), d)))
 
 
 def _directories(path):

@@ -338,7 +338,7 @@ def test_skeletons_are_equal(spark):
 
 def test_handwritten(spark):
     body = "def f(x):\n    y = x + 1\n    return y\n# a comment that is long enough to count\n"
-    rows = [(i, f"o/r{i}", f"{'vendor' if i % 2 else 'third_party'}/lib/src/m{i}.py", body) for i in range(3)]
+    rows = [(i, f"o{i}/r", f"{'vendor' if i % 2 else 'third_party'}/lib/src/m{i}.py", body) for i in range(3)]  # of unrelated owners
     rows += [
         (10, "o/a", "src/x.py", "# Code generated by t. DO NOT EDIT.\nx = 1\n"), (11, "o/a", "src/y.py", "# not generated: keep by hand\nHEADER = '# Code generated by t. DO NOT EDIT.'\n"),
         (12, "o/a", "a.min.js", "function a(b){return b};" * 80), (13, "o/a", "package-lock.json", '{"lockfileVersion": 3}'), (14, "o/a", "d.c", "const unsigned char a[] = {\n" + "  0x58, 0x93, 0xaf, 0x18, 0xd7, 0x7c,\n" * 12 + "};\n"),
@@ -349,6 +349,29 @@ def test_handwritten(spark):
     assert got == {0: "vendored", 1: "vendored", 2: "vendored", 10: "generated", 11: None, 12: "minified", 13: "lock file", 14: "data", 15: None, 16: None, 17: None, 18: None, 19: "generated"}
 
 
+@pytest.mark.parametrize(
+    "path, text, why",
+    [
+        ("a.py", "#!/usr/bin/env python\n# Copyright someone\n# line\n# line\n# line\n# line\n# Code generated by t. DO NOT EDIT.\nx = 1\n", "generated"),
+        ("a.js", "x = '" + "y" * 3_000 + "';\n// @generated\nfunction f() {}\n" * 2, "generated"), ("a.go", "/*\n" + "licence\n" * 400 + "Code generated by t. DO NOT EDIT.\n*/\npackage a\n", "generated"),
+        ("a.c", "int a;\n" * 6 + "// Code generated by t. DO NOT EDIT.\n" + "int b(int c) { return c; }\n" * 2, None), ("deep.json", '{"name": "x", "version": "1", "private": true, "lockfileVersion": 3}', "lock file"),
+        ("b.json", '{"text": "the lockfileVersion"}', None),
+    ],
+)
+def test_notices_anywhere_in_the_head(path, text, why):
+    assert handwritten.reason(path, text) == why
+
+
+def test_copies_need_other_owners_and_whole_trees(spark):
+    body = lambda k: f"def f{k}(x):\n    y = x + {k}\n    return y\n# a comment long enough\n"
+    rows = [(i, repo, "lib/a.py", body(1)) for i, repo in enumerate(["one/x", "one/y"])]  # one owner moved it
+    rows += [(10 + i, repo, "pkg/dep/b.py", body(2)) for i, repo in enumerate(["one/x", "two/z"])]
+    # equal but for a file of another kind; and equal as a whole, tiny files too
+    rows += [(20, "one/x", "t/u/c.py", "x=1\n"), (21, "one/x", "t/u/n.txt", "notes one"), (22, "two/z", "t/u/c.py", "x=1\n"), (23, "two/z", "t/u/n.txt", "notes two")]
+    rows += [(30, "one/x", "v/w/d.py", "x=2\n"), (31, "one/x", "v/w/n.txt", "same"), (32, "two/z", "q/d.py", "x=2\n"), (33, "two/z", "q/n.txt", "same"), (40, "one/x", "e/blank.py", "\n"), (41, "two/z", "e/blank.py", "\n")]
+    assert {r.ord for r in handwritten.found(files(spark, *rows)).collect()} == {10, 11, 30, 32}
+
+
 def test_merkle_moves(spark):
     tree = [("r1", "a/x/1.py", 1), ("r1", "a/x/2.py", 2), ("r2", "deep/b/y/p.py", 2), ("r2", "deep/b/y/q.py", 1), ("r2", "other.py", 3)]
     nodes = {(r.repo, r.dir): (r.node, r.n_files) for r in handwritten.merkle(spark.createDataFrame(tree, "repo string, path string, file long")).collect()}
