@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +36,48 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BITS, LEVELS = 10, 3
 
 
-@lru_cache(2)
-def _encoding(path: str):
-    import tiktoken
+_SPLIT = regex.compile(PATTERN)
+#: The encoding that this worker built last, under the hash of its file.
+_BUILT: dict = {}
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def _encoding(data: bytes):
+    """The encoding of a vocabulary file's bytes, built once a worker."""
+    name = xxhash.xxh3_64_intdigest(data)
+    if name not in _BUILT:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+        _BUILT.clear()
+        _BUILT[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _BUILT[name]
 
 
 def _pieces(text: str, size: int = 100_000) -> Iterator[str]:
-    """Cuts at line ends or else spaces that keep each piece's tokens few at a time; a very long text stays whole in sum."""
-    while len(text) > size:
-        at = max(text.rfind(" ", 0, size), 1)
-        yield text[:at]
-        text = text[at:]
-    yield text
+    """Pieces of a very long text of at least `size` characters, cut where the pre-tokenizer cuts, so that their tokens are
+    those of the whole; a stretch that it does not cut stays whole."""
+    if len(text) <= size:
+        yield text
+        return
+    start = 0
+    for m in _SPLIT.finditer(text):
+        if m.end() - start >= size and not m[0][-1].isspace():
+            yield text[start : m.end()]
+            start = m.end()
+    if start < len(text):
+        yield text[start:]
 
 
 def with_tokens(documents: DataFrame, *keep: str, path: str = f"{TOKENIZERS}/{TOKENIZER}") -> DataFrame:
-    """`keep` and `n_tokens`, the tokens of `text` (0 for null)."""
+    """`keep` and `n_tokens`, the tokens of `text` (0 for null). The vocabulary is read on the driver and sent to the workers
+    (one file, about a megabyte), so that no executor needs its folder."""
+    with open(path, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(path)
+        from corpusmill.llm import mixing  # the worker's own module, so that the encoding outlives the task
+
+        encoding = mixing._encoding(shared.value)
         for batch in batches:
             counts = [sum(len(encoding.encode_ordinary(p)) for p in _pieces(t)) if t else 0 for t in batch.column("text").to_pylist()]
             cols = [batch.column(c) for c in keep] + [pa.array(counts, pa.int64())]

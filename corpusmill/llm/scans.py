@@ -11,9 +11,9 @@ skeletons of what is left: lines that come again, page numbers, and columns that
 
 A hyphen at a line's end belongs to the word if the corpus writes the compound with a hyphen more often than without.
 
-Defined results: null content is no case; blank lines have no kind; a scan without text gives nothing; repeated rows are
-scans of their own (each counts in the word counts); CRLF ends are line ends; very long scans are one window partition
-each, sorted with spilling.
+Defined results: null content is no case; blank lines have no kind; a scan without text gives nothing; `ord` tells scans
+apart, and the same text under another ord is a scan of its own (each counts in the word counts); CRLF ends are line ends;
+very long scans are one window partition each, sorted with spilling; a line in capitals within a page is a heading and stays.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, small
 
 SCAN = r"(?i)\.(?:pdf|png|jpe?g|tiff?)$"
 CLEAN = r"(?i)(?:^https?://|\.(?:md|rst|txt)$)"
@@ -90,7 +90,10 @@ def marked(file_nodes: DataFrame) -> DataFrame:
     # the first line of a page, after the last one's number
     before = F.last(F.when(~F.col("blank"), F.col("plain")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     top = before & F.col("titled") & (meant | (F.col("following") == ""))
-    capitals = F.col("titled") & (F.upper("text") == text) & text.rlike(r"\p{Lu}{2,}.* .*\p{Lu}{2,}")
+    # a line in capitals heads a page if it stands where pages begin or end, else a section
+    after = F.first(F.when(~F.col("blank"), F.col("plain")), ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    edge = before | after | (F.col("line_no") == F.col("first_line"))
+    capitals = F.col("titled") & (F.upper("text") == text) & text.rlike(r"\p{Lu}{2,}.* .*\p{Lu}{2,}") & (edge | (F.col("again") > 1))
     rows = rows.withColumn("furniture", ~F.col("blank") & ~F.col("image") & F.coalesce(F.col("plain") | head | again | top | capitals, F.lit(False)))
     body = F.when(~F.col("blank") & ~F.col("furniture") & ~F.col("image"), F.col("text"))
     rows = rows.withColumn("body", body)
@@ -171,23 +174,23 @@ def repaired(file_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(marked(file_nodes))
     counts = cut(word_counts(file_nodes, rows))
     rows = cut(_with_cuts(rows, counts))
-    tokens = _tokens(rows)
+    tokens = cut(_tokens(rows))  # used for the counts, the doubtful words and the neighbours of good ones
     # now that cut words are whole, scans' words are counted anew
     whole = counts.filter("clean > 0").select("form", "clean", (F.col("clean") * CLEAN_WEIGHT).alias("weight")).unionByName(
         tokens.groupBy("form").agg(F.lit(0).cast("long").alias("clean"), F.count("*").alias("weight"))
     ).groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("weight").alias("weight"))
     wrong = cut(misreadings(whole.withColumn("skel", skeleton(F.col("form")))))
-    odd = tokens.join(wrong, "form")
+    odd = tokens.join(small(wrong), "form")
     # context: a neighbour (by skeleton) that stands beside the best form somewhere
     bests = wrong.filter(F.col("ratio") < CERTAIN).select(F.col("best").alias("form")).distinct()
-    beside = tokens.join(bests, "form", "left_semi").select(
+    beside = tokens.join(small(cut(bests)), "form", "left_semi").select(
         "form", F.explode(F.array(F.concat(F.lit("<"), skeleton(F.col("before"))), F.concat(F.lit(">"), skeleton(F.col("after"))))).alias("near")
     ).filter("near is not null").groupBy("form", "near").agg(F.count("*").alias("n"))
     asked = odd.withColumn("id", F.struct("ord", "line_no", "form", "best", "ratio")).select(
         "id", F.col("best").alias("form"),
         F.explode(F.array(F.lit("-"), F.concat(F.lit("<"), skeleton(F.col("before"))), F.concat(F.lit(">"), skeleton(F.col("after"))))).alias("near"),
     ).filter("near is not null")
-    backed = asked.join(beside, ["form", "near"], "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("support"))
+    backed = asked.join(small(cut(beside)), ["form", "near"], "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("support"))
     misread = backed.filter((F.col("id.ratio") >= CERTAIN) | (F.col("support") > 0)).select("id.ord", "id.line_no", "id.form", "id.best")
     return rows, misread
 

@@ -327,6 +327,11 @@ def test_scans(spark):
     assert texts == ["The second report was long. The feature and the output of the token were kept. A well-known page of the feature, and output was kept. The second report was long, as long as a read-only page"]
 
 
+def test_headings_in_capitals_stay(spark):
+    text = "THE GLOBAL REPORT\nIt was long and it was read by all of\nthem in the end.\n\nSECOND CHAPTER HERE\nMore of the text stands in this line\nand ends here.\n12\nTHE LOCAL REPORT\nand so on.\n"
+    assert [(r.line_no, r.kind) for r in scans.found(files(spark, (1, "r", "s.pdf", text))).orderBy("line_no").collect()] == [(1, "furniture"), (8, "furniture"), (9, "furniture")]
+
+
 def test_skeletons_are_equal(spark):
     pairs = [("modern", "rnodem"), ("discern", "cliscern"), ("unit", "iiriit"), ("window", "vvindovv"), ("feature", "fcature"), ("0utput", "output"), ("five", "flve")]
     df = spark.createDataFrame(pairs, "a string, b string").select(scans.skeleton(F.col("a")).alias("a"), scans.skeleton(F.col("b")).alias("b"))
@@ -454,6 +459,17 @@ def test_repetitive_texts_cost_no_more():
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_long_texts_have_the_tokens_of_the_whole():
+    with open(f"{mixing.TOKENIZERS}/{mixing.TOKENIZER}", "rb") as f:
+        encoding = mixing._encoding(f.read())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1 \n\t'+/=é漢") for _ in range(4_000)), "漢字" * 900, "QmFzZTY0" * 500, "don't we'll  x\n\n  y " * 300, " " * 3_000 + "x"]
+    for text in texts:
+        pieces = list(mixing._pieces(text, 100))
+        assert "".join(pieces) == text and sum(len(encoding.encode_ordinary(p)) for p in pieces) == len(encoding.encode_ordinary(text))
+    assert len(list(mixing._pieces(texts[1], 100))) == 1 and list(mixing._pieces("x", 100)) == ["x"]
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     docs = [(i, " ".join(["token"] * rng.randrange(1, 60)), "big" if i % 3 else "small") for i in range(600)] + [(1000, None, "big"), (1001, "x", None)]
