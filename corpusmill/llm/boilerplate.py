@@ -16,7 +16,7 @@ Three steps, and nothing but the votes decides which paths are furniture:
    label if its text, its beginning (unless it holds details) or its form is; any other line if its form is.
 
 Votes are summed by (host, path) with partial sums before the shuffle, so a host with a third of all pages is one row a
-path; a host's winning paths are joined to its pages as one array.
+path; few winning paths are broadcast, many are joined to the paths of each page (`_with_wins`).
 
 Defined results: null content is no page and gives nothing; blank lines belong to neither part; CRLF line ends are taken as
 one; pages of a null or lone host are judged by the votes of all hosts; repeated rows vote again (each is a page) and each
@@ -211,7 +211,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winners(page_rows: DataFrame) -> DataFrame:
-    """(host, wins): of each host the paths that are furniture, and at host null those for pages of any other host."""
+    """(host, path), distinct: the paths that are furniture on each host."""
     cast = page_rows.select("host", "content").mapInArrow(_vote, "host string, path long, sentence int, vote int, line long")
     # kinds of lines of a path are counted as rows of the finer sum, at no further shuffle of pages
     fine = cast.groupBy("host", "path", "sentence", "line").agg(F.count("*").alias("n"), F.sum("vote").alias("vote"))
@@ -230,40 +230,69 @@ def winners(page_rows: DataFrame) -> DataFrame:
     own = by_host.filter(F.when(form, wins(FORM_PAGES)).otherwise(wins(HOST_PAGES))).select("host", "path")
     # what a host's pages are too few to tell is told by all hosts'
     shared = by_host.filter(~form | (F.col("n") < FORM_PAGES)).select("host", "path").join(everywhere, "path", "left_semi")
-    return own.unionByName(shared.select("host", "path")).groupBy("host").agg(F.collect_set("path").alias("wins"))
+    return own.unionByName(shared.select("host", "path")).distinct()
 
 
-#: Winning paths that are broadcast; more are joined by host with a shuffle.
+#: Winning paths that are broadcast, as one array a host; beyond, each page gets the winners among its own paths.
 BROADCAST_PATHS = 2_000_000
 
 
-def _by_host(page_rows: DataFrame) -> DataFrame:
-    best = cut(winners(page_rows))
-    paths = best.agg(F.sum(F.size("wins"))).first()[0] or 0
-    return F.broadcast(best) if paths <= BROADCAST_PATHS else best
+def page_keys(content: str) -> set[int]:
+    """All paths that `furniture` may ask for."""
+    out: set[int] = set()
+    for kind, text in containers(content):
+        if kind == "paragraph":
+            out |= sentence_keys(text)
+        elif kind == "label":
+            out.update(label_keys(text))
+        if kind not in ("blank", "paragraph"):
+            out.update(form_key(kind, text, title, within) for title in (False, True) for within in (False, True))
+    return out
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict = {}
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ords, flags = [], []
-        for o, content, host, wins in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            known = memo.get(host)
-            if known is None:
-                if len(memo) > 200:
-                    memo.clear()
-                known = memo[host] = frozenset(wins.as_py() or ())
-            ords.append(o)
-            flags.append(furniture(content, known))
-        yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(flags, pa.list_(pa.bool_()))], names=["ord", "furniture"])
+        for o, host, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            keys = list(page_keys(content))
+            yield pa.RecordBatch.from_arrays([pa.array([o] * len(keys), pa.int64()), pa.array([host] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["ord", "host", "path"])
+
+
+def _with_wins(page_rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(ord, host, content, wins) of each page, and whether they are those of its host. Winners that are few are broadcast by host. Else the paths of each page are
+    joined to them, narrow rows by (host, path), and come back as the page's own winners by `ord`: no group has more than one
+    page's paths, however many pages or winning paths a host has."""
+    best = cut(winners(page_rows))
+    if best.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        by_host = F.broadcast(best.groupBy("host").agg(F.collect_set("path").alias("wins")))
+        return page_rows.join(by_host, page_rows["host"].eqNullSafe(by_host["host"]), "left").select("ord", page_rows["host"], "content", "wins"), True
+    asked = page_rows.mapInArrow(_keys, "ord long, host string, path long")
+    won = asked.join(best, asked["host"].eqNullSafe(best["host"]) & (asked["path"] == best["path"])).select("ord", asked["path"])
+    won = won.groupBy("ord").agg(F.collect_set("path").alias("wins"))
+    return page_rows.join(won, "ord", "left").select("ord", "host", "content", "wins"), False
+
+
+def _judge(by_host: bool):
+    """With `by_host` a host's pages have the same winners, and those of a host are made a set once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ords, flags = [], []
+            memo: dict[str | None, frozenset] = {}
+            for o, content, host, wins in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                known = memo.get(host) if by_host else None
+                if known is None:
+                    known = memo[host] = frozenset(wins.as_py() or ())
+                ords.append(o)
+                flags.append(furniture(content, known))
+            yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(flags, pa.list_(pa.bool_()))], names=["ord", "furniture"])
+
+    return run
 
 
 def judged(file_nodes: DataFrame) -> DataFrame:
     """(ord, furniture): of each page's lines whether they are furniture; null for blank lines."""
-    rows = pages(file_nodes)
-    best = _by_host(rows)
-    joined = rows.join(best, rows["host"].eqNullSafe(best["host"]), "left").select("ord", "content", rows["host"], "wins")
-    return joined.mapInArrow(_judged, "ord long, furniture array<boolean>")
+    joined, by_host = _with_wins(pages(file_nodes))
+    return joined.select("ord", "content", "host", "wins").mapInArrow(_judge(by_host), "ord long, furniture array<boolean>")
 
 
 def found(file_nodes: DataFrame) -> DataFrame:
@@ -274,9 +303,7 @@ def found(file_nodes: DataFrame) -> DataFrame:
 
 def main_content(file_nodes: DataFrame) -> DataFrame:
     """(ord, host, text): each page with only its article's lines; blank lines at the ends and in a row go."""
-    rows = pages(file_nodes)
-    best = _by_host(rows)
-    joined = rows.join(best, rows["host"].eqNullSafe(best["host"]), "left").select("ord", rows["host"], "content", "wins")
+    joined, _ = _with_wins(pages(file_nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

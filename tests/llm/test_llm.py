@@ -47,6 +47,19 @@ def article(i):
     return [f"# Title of page {i}", line(), "Advertisement", "", "Home folders are skipped.", line()]
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_winners_by_host_and_by_page_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(boilerplate, "BROADCAST_PATHS", most)
+    pages = [(i, None if i % 5 == 0 else "h.example", f"https://h.example/{i}", "\n".join(["* Home", "Skip to content", "", *article(i), "", "© 2020 Some Labs. All rights reserved."])) for i in range(20)]
+    found = {(r.ord, r.line_no) for r in boilerplate.found(files(spark, *pages)).collect()}
+    assert found == {(i, n) for i in range(20) for n in (1, 2, 6, 11)}
+
+
+def test_without_votes_nothing_is_furniture():
+    lines = boilerplate.furniture("* Home\nSkip to content\n\n" + "\n".join(article(1)) + "\n© 2020 Labs. All rights reserved.", frozenset())
+    assert not any(lines)
+
+
 def test_boilerplate(spark):
     pages = []
     for i in range(12):
