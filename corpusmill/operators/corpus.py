@@ -238,6 +238,14 @@ def directory_counts(paths: DataFrame) -> DataFrame:
     return entries.groupBy("dir").agg(F.count_if("file").alias("files"), F.count("*").alias("entries"))
 
 
+def directory_entries(paths: DataFrame) -> DataFrame:
+    """(at, dir, name, is_dir): all entries once, directory by directory, in each its directories first, then by name."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("dir"), F.element_at(parts, i).alias("name"), (i == F.size(parts)).alias("file")))
+    entries = paths.filter("path <> ''").select(F.explode(up).alias("e")).groupBy("e.dir", "e.name").agg(F.min("e.file").alias("is_file"))
+    return in_order(entries, ["dir", "is_file", "name"], "at", 1).select("at", "dir", "name", (~F.col("is_file")).alias("is_dir"))
+
+
 def readme_intro(content: Column) -> Column:
     """Three lines after the blank and heading lines at the head, blank lines left out, on one line."""
     lines = F.transform(F.split(content, "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))

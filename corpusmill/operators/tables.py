@@ -114,6 +114,12 @@ def shared_conversation(url: Column, body: Column) -> Column:
     return F.concat(F.lit("# Gemini Conversation Share\nSource URL: "), url, F.lit("\n\n"), body)
 
 
+def drive_export(name: Column, url: Column, body: Column, exported: bool = True) -> Column:
+    """A document from a drive under its name; what was exported from an online editor also under its link."""
+    source = F.concat(F.lit("\nGoogle Workspace Export\nSource URL: "), url) if exported else F.lit("")
+    return F.concat(F.lit("# "), name, source, F.lit("\n\n"), body)
+
+
 def page_value(page: Column, key: str) -> Column:
     """The value of `"key","value"` in a page's global data; null if there is none."""
     found = F.regexp_extract(page, f'"{key}","([^"]*)"', 1)

@@ -148,3 +148,55 @@ def original_text(url: str) -> str:
 def original(url: Column) -> Column:
     """The picture in its original size."""
     return F.regexp_replace(url, r"([?&]name=)\w+", "$1orig")
+
+
+# --- shared conversations -------------------------------------------------------------------------------------------------
+
+
+def conversation_chunks(raw: str) -> list[list]:
+    """The arrays of a stored stream: a line with a length, then a line of JSON; anything else is passed over."""
+    lines = raw.removeprefix(")]}'\n").split("\n")
+    out, i = [], 0
+    while i < len(lines):
+        if lines[i].isdecimal() and i + 1 < len(lines):
+            ok, value = parse_strict(lines[i + 1])
+            if ok and isinstance(value, list):
+                out.append(value)
+            i += 1
+        i += 1
+    return out
+
+
+def conversation_text(raw: str, url: str) -> str:
+    """A shared conversation from its stored stream: each turn's question and answer under its speaker, a title if there is one."""
+    title, parts = None, []
+    for chunk in conversation_chunks(raw):
+        ok, data = parse_strict(at(chunk, 0, 2) if isinstance(at(chunk, 0, 2), str) else None)
+        if not ok or not isinstance(data, list):
+            continue
+        if not isinstance(at(data, 0), list):
+            title = at(data, 2) if isinstance(at(data, 2), str) else title
+            continue
+        for turn in data[0]:
+            if isinstance(at(turn, 0), list):
+                said = [("User", at(turn, 0, 0, 0, 0)), ("Gemini", at(turn, 0, 1, 0, 0))]
+            elif isinstance(at(turn, 2), str):
+                said = [("User", at(turn, 2))]
+            else:
+                said = [("Message", at(turn, 1, 0))]
+            parts += [f"**{who}:**\n{text}\n\n" for who, text in said if isinstance(text, str)]
+    head = f"# Gemini Conversation Share\nSource URL: {url}\n\n"
+    if not parts and title is None:
+        return head + "Failed to parse conversation chunks, or empty answer."
+    return (f"# Gemini Conversation: {title}\nSource URL: {url}\n\n" if title is not None else "") + head + "".join(parts)
+
+
+def conversations_parsed(raw: DataFrame) -> DataFrame:
+    """(ord, text) of (ord, url, body): each stored conversation; a null body gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [conversation_text(b, u or "") for u, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["ord", "text"])
+
+    return raw.filter("body is not null").select(F.col("ord").cast("long").alias("ord"), "url", "body").mapInArrow(run, "ord long, text string")

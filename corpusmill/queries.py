@@ -446,6 +446,15 @@ def directory_counts(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ops.directory_counts(table(spark, d, "file_nodes").filter(~F.col("path").rlike("^https?://")).select("path"))
 
 
+@query(
+    "directory_entries",
+    """WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM file_nodes WHERE path <> '' AND NOT regexp_matches(path, '^https?://')), e AS (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM p),
+    g AS (SELECT array_to_string(s[1:i - 1], '/') AS dir, s[i] AS name, bool_or(i < len(s)) AS is_dir FROM e GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY dir, is_dir DESC, name) AS at, * FROM g""",
+)
+def directory_entries(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_ops.directory_entries(table(spark, d, "file_nodes").filter(~F.col("path").rlike("^https?://")).select("path"))
+
+
 _SCANNED = """SELECT CASE n_nationkey % 5 WHEN 0 THEN 'pkg' || n_nationkey || '/__init__.py' WHEN 1 THEN '_config' || n_nationkey || '.yml' WHEN 2 THEN '.hidden' || n_nationkey || '/x.txt' WHEN 3 THEN 'a/b/c/d' || n_nationkey || '.log'
  ELSE 'keys/k' || n_nationkey || '.pem' END AS path, n_name || chr(10) AS text FROM nation"""
 
@@ -812,7 +821,7 @@ def thread_render_xml(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "page_headers",
     """SELECT event_id, '# ' || CASE WHEN event_id % 3 = 0 THEN 'Unknown Title' ELSE event_type END || chr(10) || chr(10) || '**Channel:** ' || user_id || chr(10) || '**Duration:** Unknown Durations' || chr(10) || chr(10) || 'said' AS transcript,
-    '# Gemini Conversation Share' || chr(10) || 'Source URL: https://g.test/' || event_id || chr(10) || chr(10) || '**User:**' AS conversation, nullif(regexp_extract(props, '"k": (\\d+)', 1), '') AS value, event_id % 4 <> 1 AS playable FROM events""",
+    '# Gemini Conversation Share' || chr(10) || 'Source URL: https://g.test/' || event_id || chr(10) || chr(10) || '**User:**' AS conversation, nullif(regexp_extract(props, '"k": (\\d+)', 1), '') AS value, '# ' || event_type || chr(10) || 'Google Workspace Export' || chr(10) || 'Source URL: https://d.test/' || event_id || chr(10) || chr(10) || 'body' AS export, event_id % 4 <> 1 AS playable FROM events""",
 )
 def page_headers(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
@@ -820,7 +829,8 @@ def page_headers(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(i % 4 == 0, "OK").when(i % 4 == 1, "LOGIN_REQUIRED")
     return table(spark, d, "events").select(
         "event_id", tables.transcript(F.when(i % 3 != 0, F.col("event_type")), F.col("user_id"), F.lit(None), F.lit("said")).alias("transcript"),
-        tables.shared_conversation(F.concat(F.lit("https://g.test/"), i.cast("string")), F.lit("**User:**")).alias("conversation"), tables.page_value(page, "KEY").alias("value"), tables.playable(status).alias("playable"),
+        tables.shared_conversation(F.concat(F.lit("https://g.test/"), i.cast("string")), F.lit("**User:**")).alias("conversation"), tables.page_value(page, "KEY").alias("value"),
+        tables.drive_export(F.col("event_type"), F.concat(F.lit("https://d.test/"), i.cast("string")), F.lit("body")).alias("export"), tables.playable(status).alias("playable"),
     )
 
 

@@ -22,17 +22,30 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["manifest", "budget_prune", "bm25_search", "chat_render", "p1_found", "full_pipeline", "tree_listing"])
-def test_against_sql(spark, sf, name):
-    duckdb = pytest.importorskip("duckdb")
+TABLES = ("file_nodes", "documents", "conversations", "timelines", "events", "part", "nation", "region", "repos", "lineitem", "labels", "benchmark", "mix_targets")
+
+
+def names():
     entry = importlib.import_module("__spark_entry__")
+    return sorted(entry.oracle_sql())
+
+
+@pytest.fixture(scope="session")
+def duck(sf):
+    duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("file_nodes", "documents", "conversations", "timelines", "events", "part", "nation", "repos", "lineitem"):
+    for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", names())
+def test_against_sql(spark, sf, duck, name):
+    entry = importlib.import_module("__spark_entry__")
     df = entry.queries()[name](spark, sf)
-    r = c.sql(entry.oracle_sql()[name])
-    names = sorted(df.columns)
-    assert sorted(r.columns) == names
-    at = [r.columns.index(n) for n in names]
+    r = duck.sql(entry.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert sorted(r.columns) == columns
+    at = [r.columns.index(n) for n in columns]
     text = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x)
-    assert sorted(tuple(text(x[n]) for n in names) for x in df.collect()) == sorted(tuple(text(x[i]) for i in at) for x in r.fetchall())
+    assert sorted(tuple(text(x[n]) for n in columns) for x in df.collect()) == sorted(tuple(text(x[i]) for i in at) for x in r.fetchall())

@@ -91,6 +91,38 @@ def test_compress_strings(spark):
     assert one(spark, compress.compress(F.col("t"), "aggressive"), t=None) is None
 
 
+def test_compression_against_brute_force(spark):
+    """Levels and stop words by plain loops over lines and words."""
+    import random
+
+    rng = random.Random(6)
+    bits = ["the", "The,", "fox", "(of)", "a", "x1", "\n", "\n\n\n", "  ", "\t", "'it's'", "né", "-", "and."]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(30))) for _ in range(80)]
+    stop = set(compress.stop_words())
+
+    def safe(t):
+        t = "\n".join(x.strip(" \t") for x in t.split("\n"))
+        while "\n\n\n" in t:
+            t = t.replace("\n\n\n", "\n\n")
+        return t
+
+    def clean(w):
+        w = w.lower()
+        while w and not w[0].isalnum():
+            w = w[1:]
+        while w and not w[-1].isalnum():
+            w = w[:-1]
+        return w
+
+    def hard(t):
+        kept = [w for w in safe(t).split() if clean(w) not in stop]
+        return " ".join(kept) if kept else safe(t)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", compress.compress(F.col("t"), "safe").alias("s"), compress.compress(F.col("t"), "aggressive").alias("h")).collect()
+    assert all((r.s, r.h) == (safe(r.t), hard(r.t)) for r in got)
+
+
 def test_brace_comments():
     assert compress.brace_comments('x = "// no"; // yes\n') == 'x = "// no"; \n'
     assert compress.brace_comments(None) is None

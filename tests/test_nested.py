@@ -107,3 +107,13 @@ def test_second_shape_of_threads():
     focal, others = threads.thread(value, "")
     assert (focal["handle"], focal["name"], focal["likes"]) == ("yes", "Yes", 4) and [(p["id"], p["handle"]) for p in others] == [("2", "no"), ("3", "unknown")]
     assert threads.as_markdown(focal, others, "u").count("---") == 3 and threads.thread({"focal": {"data": "x"}}, "") == (None, [])
+
+
+def test_shared_conversations(spark):
+    turns = [[[[["Hi?"]], [["Hello."]]]], ["x", ["note"]], ["x", 1, "flat"], [None], 5]
+    chunk = lambda data: json.dumps([["wrb.fr", "id", json.dumps(data)]])
+    raw = ")]}'\n\n12\n" + chunk([turns]) + "\n25\n{\"a\": 1}\n7\n[broken\n9\n" + chunk([None, 1, "Title"]) + "\n3"
+    want = "# Gemini Conversation: Title\nSource URL: u\n\n# Gemini Conversation Share\nSource URL: u\n\n**User:**\nHi?\n\n**Gemini:**\nHello.\n\n**Message:**\nnote\n\n**User:**\nflat\n\n"
+    df = spark.createDataFrame([(1, "u", raw), (2, None, ""), (3, "u", None)], "ord long, url string, body string")
+    got = {r.ord: r.text for r in threads.conversations_parsed(df).collect()}
+    assert got == {1: want, 2: "# Gemini Conversation Share\nSource URL: \n\nFailed to parse conversation chunks, or empty answer."}
