@@ -52,6 +52,9 @@ NOT_FILES = r"(?i)(?:^https?://|\.(?:pdf|png|jpe?g|tiff?)$)"
 #: A run of signs that may be a credential. Without a digit none is random, so none is a placeholder by its owners and bare
 #: ones need no place in the index; behind a name or in a place they are judged like all others.
 _RUN = re.compile(r"[A-Za-z0-9+/_=.!?*%#$^&~\-]{6,}")
+#: Words in one case with full stops, hyphens or underscores between and after them: no form and no password has so few kinds.
+_PLAIN = re.compile(r"[a-z._]+$|[A-Z]?[a-z]+[.?!]?$|[A-Z_]+_[A-Z_]+$")
+_DIGIT = re.compile(r"[0-9]")
 _TWO_KINDS = re.compile(r"(?:[A-Za-z]+|[^A-Z0-9]+|[^a-z0-9]+)$")
 _GROUPED = re.compile(r"(?:[A-Za-z0-9]{6,8}-){3}[A-Za-z0-9]{6,9}$")
 #: Names behind which credentials stand (fixed values).
@@ -159,14 +162,13 @@ def candidates(content: str) -> Iterator[tuple[int, int, str, str, str, str | No
         yield from _in_parts(content)
     for m in _RUN.finditer(content):
         run = m[0]
-        if run.isalpha() and not run.startswith("AKIA"):
-            continue  # a word
-        numbered = any(c in run for c in "0123456789") or _GROUPED.match(run)
+        if run.isalpha() and not run.startswith("AKIA") or _PLAIN.match(run):
+            continue  # a word, or words with signs between them
         for start, value in _values(content, m.start(), run):
             if _TWO_KINDS.match(value) and not _FORM.match(value):
                 continue  # a word, whatever its place
             found = judge(content, start, value)
-            if found and (numbered or found[0] != BARE) and (len(value) >= LEAST_ELSEWHERE or found[0] in (NAMED, PLACED)):
+            if found and (found[0] != BARE or _DIGIT.search(run) or _GROUPED.match(run)) and (len(value) >= LEAST_ELSEWHERE or found[0] in (NAMED, PLACED)):
                 yield start, content.count("\n", 0, start) + 1, value, *found
 
 
