@@ -23,6 +23,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,7 +116,6 @@ class Model:
                     types[gram[2]] += 1
         self.shared, self.shared_n, self.words = dict(types), sum(types.values()), len(types) + 1
         self.levels = [self._levels(t) for t in tri]
-        self.low: dict = {}
 
     @staticmethod
     def _levels(tri: dict) -> list[tuple[dict, dict, dict]]:
@@ -179,19 +180,6 @@ class Model:
         total = sums.get(gram[:-1], 0.0)
         return (max(counts.get(gram, 0.0) - DISCOUNT, 0.0) + (kinds[gram[:-1]] + 1.0) * p) / (total + 1.0) if total > 0 else p
 
-    def ratios(self, words: tuple[str, ...], memo: dict) -> list[float]:
-        """The log-ratio toxic to ordinary of each word."""
-        padded, out = ("<s>", "<s>", *words), []
-        for i in range(2, len(padded)):
-            gram = padded[i - 2 : i + 1]
-            r = memo.get(gram)
-            if r is None:
-                if len(memo) > 400_000:
-                    memo.clear()
-                r = memo[gram] = self._seen(gram, self.low)
-            out.append(r)
-        return out
-
     def without(self, words: tuple[str, ...], toxic: float, memo: dict) -> float:
         """The sentence's log-ratio by the counts of all other sentences; `toxic` is its own weight."""
         padded, total = ("<s>", "<s>", *words), 0.0
@@ -203,20 +191,30 @@ class Model:
             total += r
         return total
 
-    def score(self, words: tuple[str, ...], memo: dict) -> float:
+    def score(self, words: tuple[str, ...], memo: Ratios) -> float:
         """The best of the sentence's and its windows' log-ratio a word."""
-        r = self.ratios(words, memo)
+        r = [memo[g] for g in zip(("<s>", "<s>", *words), ("<s>", *words), words)]
         best = sum(r) / max(len(r), 4)
         if len(r) > WINDOW:
+            sums = list(accumulate(r, initial=0.0))
             for size in (5, WINDOW):
-                s = sum(r[:size])
-                best = max(best, s / size)
-                for i in range(size, len(r)):
-                    s += r[i] - r[i - size]
-                    best = max(best, s / size)
+                best = max(best, max(map(sub, sums[size:], sums)) / size)
         return best
 
 
+class Ratios(dict):
+    """The log-ratio toxic to ordinary of each trigram's last word by one model, kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.low = model, {}
+
+    def __missing__(self, gram: tuple) -> float:
+        if len(self) > 400_000:
+            self.clear()
+        r = self[gram] = self.model._seen(gram, self.low)
+        return r
+
+
 def fit(rated: list[tuple[str | None, float]]) -> Model | None:
     """From (text, share of ratings that say abusive)."""
     docs = [([tuple(w) for w in passages(t)], y) for t, y in rated]
@@ -264,7 +262,8 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo, known = shared.value, {}, {}
+        model, known = shared.value, {}
+        memo = Ratios(model) if model else None
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():
