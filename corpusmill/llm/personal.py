@@ -269,14 +269,14 @@ def propose(text: str) -> list[tuple]:
 
 
 def records(file_nodes: DataFrame, timelines: DataFrame) -> DataFrame:
-    """(origin, rec_id, text) of files and of posts."""
+    """(origin, rec_id, text) of files and of posts; posts are parsed once and cut, as they are read again."""
     files = file_nodes.filter("ord is not null and content is not null").select(
         F.lit("file_nodes").alias("origin"), F.col("ord").cast("string").alias("rec_id"), F.col("content").cast("string").alias("text")
     )
     f = F.col("fields")
-    posts = thread_nodes(timelines).filter("type = 'post'").select(
+    posts = cut(thread_nodes(timelines).filter("type = 'post'").select(
         F.lit("timelines").alias("origin"), f.getItem("id_str").alias("rec_id"), f.getItem("full_text").alias("text")
-    ).filter("rec_id is not null and text is not null").distinct()
+    ).filter("rec_id is not null and text is not null").distinct())
     return files.unionByName(posts)
 
 
@@ -303,7 +303,7 @@ def with_gazetteers(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     tokens = pairs.select(F.explode(F.array("first", "second")).alias("token"), "n", "cues").filter(F.length("token") > 1).groupBy("token").agg(
         F.sum("n").alias("n"), F.sum("cues").alias("cues"), F.count("*").alias("partners")
     )
-    lower = texts.filter(F.col("origin") == "file_nodes").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_@.&#-])\p{Ll}{2,}(?![\p{L}\p{N}_@.(=&#-])"), F.lit(0))).alias("token"))
+    lower = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_@.&#-])\p{Ll}{2,}(?![\p{L}\p{N}_@.(=&#-])"), F.lit(0))).alias("token"))
     lower = lower.groupBy("token").agg(F.count("*").alias("low"))
     gazetteer = cut(tokens.join(lower, "token", "left").select(
         "token", ((F.col("cues") >= NAME_CUES) & (F.col("cues") >= NAME_SHARE * F.col("n"))).alias("known"), (F.coalesce("low", F.lit(0)) > COMMON * F.col("n")).alias("common")

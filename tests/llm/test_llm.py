@@ -177,6 +177,15 @@ def test_personal(spark):
     assert text["0"].startswith("Thanks to [NAME] for the review.") and text["77"] == "hi\nmail [EMAIL]"
 
 
+@pytest.mark.parametrize("place", ["file", "post"])
+def test_common_words_are_learnt_from_files_and_posts(spark, place):
+    said = {"file": "hello", "post": "hello"} | {place: "the granite store keeps a granite store"}
+    posts = spark.createDataFrame([(1, json.dumps({"legacy": {"id_str": "77", "full_text": said["post"]}}))], "payload_id long, payload string")
+    texts = personal.records(files(spark, (1, "o/r", "a.md", "a Granite Store opens"), (2, "o/r", "b.md", said["file"])), posts)
+    (name,) = personal.with_gazetteers(personal.spans(texts), texts).collect()
+    assert (name["first"], name["second"], name.votes) == ("granite", "store", 1 << list(personal.VOTES["name"]).index("common"))
+
+
 def test_estimates_follow_labelers():
     """Held-out truth: EM from even votes finds which of the labelers are to be trusted."""
     rng = random.Random(4)
