@@ -14,24 +14,41 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import html, paths
 from corpusmill.operators.corpus import TREE, in_order
-from corpusmill.session import cut
+from corpusmill.session import BROADCAST_ROWS, cut
+
+
+#: Rows, and bytes of their names, up to which nodes are broadcast to a round's joins.
+SIDE_ROWS, SIDE_BYTES = BROADCAST_ROWS, 4_000_000
+#: Frontiers that are kept as tables of their own.
+MOST_ROUNDS = 16
+
+
+def _side(nodes: DataFrame, rows: int, size: int) -> DataFrame:
+    """`nodes` as a side of a join, broadcast only if few by count. Spark's own estimate is taken from the bytes of the files
+    that were read; rows can be thousands of times larger, and would fill the driver."""
+    return F.broadcast(nodes) if rows <= SIDE_ROWS and size <= SIDE_BYTES else nodes.hint("merge")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth) of every node, with the least number of steps from a seed. One round a step: the frontier is joined
-    to the edges and nodes seen before fall out; only the frontier's emptiness is asked for."""
+    to the edges and nodes seen before fall out; only the frontier's extent is asked for."""
     edges = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
     frontier = cut(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
+    extent = F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("node").cast("string"))), F.lit(0))
+    rows, size = frontier.agg(*extent).first()
+    seen_rows, seen_size = rows, size
     rounds, step = [frontier], 0
     while depth is None or step < depth:
         step += 1
         seen = rounds[0]
         for f in rounds[1:]:  # frontiers are written once each; what was seen is their union
             seen = seen.unionByName(f)
-        found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
-        if frontier.isEmpty():
+        found = _side(frontier, rows, size).join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(_side(seen.select("node"), seen_rows, seen_size), "node", "left_anti").withColumn("depth", F.lit(step)))
+        rows, size = frontier.agg(*extent).first()
+        if not rows:
             break
+        seen_rows, seen_size = seen_rows + rows, seen_size + size
         rounds.append(frontier)
         if len(rounds) > MOST_ROUNDS:  # many small tables become one
             rounds = [cut(seen.unionByName(frontier))]
@@ -41,10 +58,6 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     return out
 
 
-#: Frontiers that are kept as tables of their own.
-MOST_ROUNDS = 16
-
-
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, allowed) of (page_id, host, path) under (host, prefix, allow): the longest prefix decides, allowing wins
     a tie, no rule allows."""
@@ -96,10 +109,11 @@ def crawl(pages: DataFrame, seed: str, rules: DataFrame | None = None, depth: in
     if rules is not None:
         path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
         asked = usable.select(F.col("url").alias("page_id"), paths.url_host(F.col("url")).alias("host"), path.alias("path"))
-        usable = usable.join(allowed(asked, rules).filter("allowed").select(F.col("page_id").alias("url")), "url", "left_semi")
+        usable = usable.join(allowed(asked, rules).filter("allowed").select(F.col("page_id").alias("url")).hint("merge"), "url", "left_semi")
     seeds = pages.sparkSession.createDataFrame([(seed,)], "node string")
     reached = reachable(page_links(usable), seeds, depth)
-    found = usable.join(reached.withColumnRenamed("node", "url"), "url").select("depth", F.col("url").alias("path"), html.page_to_markdown(F.col("html"), full).alias("content"))
+    found = usable.join(reached.withColumnRenamed("node", "url").hint("merge"), "url")  # pages lie by URL already; they are never broadcast
+    found = found.select("depth", F.col("url").alias("path"), html.page_to_markdown(F.col("html"), full).alias("content"))
     found = in_order(cut(found.filter("content <> ''")), ["depth", "path"], "ord", 1).select("ord", "path", "content")
     host = urlsplit(seed).hostname or "unknown"
     tree = pages.sparkSession.createDataFrame([(0, TREE, f"```tree\n🌐 {host}\n```\n\n")], "ord long, path string, content string")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,26 @@ def test_crawl(spark):
     assert [r.path for r in graph.crawl(pages, u, rules, depth=0).collect()] == ["_tree.md", u]
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_crawl_broadcasts_what_was_counted(spark, monkeypatch, most):
+    """Pages that Spark believes to be small: neither they nor their links are broadcast, nodes only up to the limit."""
+    if most is not None:
+        monkeypatch.setattr(graph, "SIDE_ROWS", most)
+    text = F.col("id").cast("string")
+    page = F.concat(F.lit('<p>P</p><a href="/'), (F.col("id") * 2).cast("string"), F.lit('"></a><a href="/'), (F.col("id") * 2 + 1).cast("string"), F.lit('"></a>'))
+    pages = spark.range(1, 41).select(F.concat(F.lit("https://h.test/"), text).alias("url"), page.alias("html"))
+    rules = spark.createDataFrame([("h.test", "/3", False)], "host string, prefix string, allow boolean")
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    before = {e.executionId() for e in ran()}
+    got = [r.path.rsplit("/", 1)[-1] for r in graph.crawl(pages, "https://h.test/1", rules).orderBy("ord").collect()]
+    assert got == ["_tree.md", *(str(n) for n in [1, 2, 4, 5, 10, 11, 8, 9, *range(16, 24), 40])]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sides = [x for e in ran() if e.executionId() not in before for x in re.findall(r"\) BroadcastExchange\s+Input \[\d+\]: \[(.*)\]", e.physicalPlanDescription())]
+    names = {re.sub(r"#\d+L?", "", n) for x in sides for n in x.split(", ")}
+    assert "prefix" in names and not names & ({"html", "url", "dst", "page_id"} | ({"node"} if most == 0 else set())), names
+
+
 def test_search_example(spark):
     df = rows(spark, ("main.rs", "pub fn connect_db() {}"), ("utils.rs", "pub fn parse_date() {}"), ("crawler.rs", "pub fn fetch_url() {}"))
     assert [r.path for r in ops.search(df, "connect", 1).collect()] == ["main.rs"]
